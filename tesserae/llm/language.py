@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,8 +14,10 @@ from .common import small_batches
 SAMPLE_DOCS = 128
 SAMPLE_CHARS = 2000
 LANGUAGES = 400
-BLOCK = 4096
+BLOCK = 1024
 MARGIN = 0.01
+LEVEL, CLOSE_LEVEL = 3, 19
+CLOSE = 0.03
 UNKNOWN = "und"
 
 
@@ -42,34 +44,52 @@ def training_texts(docs: DataFrame, usable: Column, sample_docs: int = SAMPLE_DO
     return {lang: [t for _, t in sorted(rows)[:sample_docs]] for lang, rows in sorted(found.items())}
 
 
+_OTHER = re.compile(r"[\W\d_]+")
+
+
+def letters(text: str) -> bytes:
+    """The text's letters in lower case, with one space for anything else between them."""
+    return (" " + _OTHER.sub(" ", text.lower()).strip() + " ").encode()
+
+
 def dictionaries(samples: dict[str, list[str]]) -> dict[str, bytes]:
-    return {lang: "\n".join(t.lower() for t in texts).encode() for lang, texts in samples.items()}
+    return {lang: b"".join(map(letters, texts)) for lang, texts in samples.items()}
 
 
 class Classifier:
-    """Sizes of a text under every dictionary, in independently compressed blocks."""
+    """Sizes of a text under every dictionary, in independently compressed blocks.
 
-    def __init__(self, raw: dict[str, bytes], level: int = 3):
-        import zstandard
+    Texts whose two smallest sizes are close at the fast level are compressed anew at
+    the thorough one, whole.
+    """
 
+    def __init__(self, raw: dict[str, bytes]):
         self.langs = sorted(raw)
-        self.compress = []
-        for lang in self.langs:
-            d = zstandard.ZstdCompressionDict(raw[lang], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            d.precompute_compress(level=level)
-            self.compress.append(zstandard.ZstdCompressor(level=level, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False).compress)
+        self.fast = [_compressor(raw[lang], LEVEL) for lang in self.langs]
+        self.thorough = [_compressor(raw[lang], CLOSE_LEVEL) for lang in self.langs]
 
     def classify(self, text: str | None) -> tuple[str, float]:
         """The language of the smallest encoding and its margin, 1 - smallest / second."""
         if not text or not self.langs or not any(map(str.isalpha, text)):
             return UNKNOWN, 0.0
-        raw = text.lower().encode()
+        raw = letters(text)
         blocks = [raw[k : k + BLOCK] for k in range(0, len(raw), BLOCK)]
-        sizes = [sum(map(len, map(c, blocks))) for c in self.compress]
-        order = np.argsort(sizes, kind="stable")
-        if len(order) == 1:
-            return self.langs[0], 1.0
-        return self.langs[order[0]], 1.0 - sizes[order[0]] / sizes[order[1]]
+        found = self._smallest(blocks, self.fast)
+        return found if found[1] >= CLOSE else self._smallest(blocks, self.thorough)
+
+    def _smallest(self, blocks: list[bytes], compress: list) -> tuple[str, float]:
+        sizes = [sum(map(len, map(c, blocks))) for c in compress]
+        first = min(range(len(sizes)), key=sizes.__getitem__)
+        rest = sizes[:first] + sizes[first + 1 :]
+        return self.langs[first], 1.0 - sizes[first] / min(rest) if rest else 1.0
+
+
+def _compressor(raw: bytes, level: int):
+    import zstandard
+
+    d = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    d.precompute_compress(level=level)
+    return zstandard.ZstdCompressor(level=level, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False).compress
 
 
 _made: dict[int, tuple[dict, Classifier]] = {}

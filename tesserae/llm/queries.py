@@ -14,6 +14,14 @@ def _tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import toxicity
+
+    fold = F.coalesce(crc_mod(F.col("doc_id"), 4), F.lit(0))
+    docs, labels = (table(spark, sf_dir, x) for x in ("documents", "labels"))
+    return toxicity(docs, labels, fold.isin(0, 1), fold == 3).select("doc_id", (crc_mod(F.col("doc_id"), 4) == 2).alias("held_out"), "score", "predicted")
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import quality_rules
 
@@ -40,12 +48,25 @@ def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mixed
+
+    return mixed(table(spark, sf_dir, "documents")).select("doc_id", "c_source", "c_lang", "c_topic", "tokens", "probability", "selected")
+
+
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets_scan import digest, findings, scan
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return digest(findings(docs, scan(docs)))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack_along_curve
 
     return pack_along_curve(table(spark, sf_dir, "documents"), _tokenizer())
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op3_language_id, op4_token_store, op6_exact_top_k, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_quality_rules, op3_language_id, op4_token_store, op6_exact_top_k, op8_mixing, op9_secret_scan, op10_packing)}
 
 ORACLE_SQL: dict[str, str] = {}
