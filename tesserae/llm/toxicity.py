@@ -21,8 +21,10 @@ from .common import saved, small_batches
 
 ORDER = 6
 DISCOUNT = 0.75
-STRETCH = 192
+STRETCHES = (192, 24, 8)
+TELLING = (7.0, 12.0, 18.0)
 SLOTS = 2_097_143  # a prime; slots of the scoring table
+FEATURES = 1 + len(STRETCHES) + 2 * len(TELLING)
 CALIBRATION_ROWS = 20_000
 THRESHOLD = 0.3
 _GAP = ORDER - 1
@@ -130,9 +132,10 @@ def slot_table(rows: DataFrame, slots: int = SLOTS) -> tuple[np.ndarray, np.ndar
 
 
 def features(texts: list[str | None], tables) -> np.ndarray:
-    """For each text the mean evidence of a byte, and that of the most telling stretch."""
+    """For each text the mean evidence of a byte, over the whole text and over its most
+    telling stretches, and how much of it lies in short stretches of strong evidence."""
     (keys, values), (h_keys, h_values) = tables
-    out = np.zeros((len(texts), 2))
+    out = np.zeros((len(texts), FEATURES))
     data, starts, ends = _joined(texts)
     grams = _grams(data)
     if not len(grams):
@@ -151,8 +154,13 @@ def features(texts: list[str | None], tables) -> np.ndarray:
     for k, (a, b) in enumerate(zip(starts - _GAP, ends - _GAP, strict=True)):
         if b > a:
             out[k, 0] = (total[b] - total[a]) / (b - a)
-            wide = min(STRETCH, b - a)
-            out[k, 1] = (total[a + wide : b + 1] - total[a : b + 1 - wide]).max() / max(wide, STRETCH // 4)
+            for j, stretch in enumerate(STRETCHES):
+                wide = min(stretch, b - a)
+                sums = total[a + wide : b + 1] - total[a : b + 1 - wide]
+                out[k, j + 1] = sums.max() / stretch
+            for j, least in enumerate(TELLING):
+                strong = np.count_nonzero(sums > least)
+                out[k, 1 + len(STRETCHES) + 2 * j :][:2] = np.log1p(strong), np.sqrt(strong / (b - a))
     return out
 
 
@@ -196,11 +204,12 @@ def toxicity(docs: DataFrame, labels: DataFrame, counted: Column, calibrated: Co
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             f = features(batch.column(0).to_pylist(), model.value)
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(f[:, 0]), pa.array(f[:, 1])], names=["toxic", "a", "b"])
+            yield pa.RecordBatch.from_arrays([batch.column(1), *map(pa.array, f.T.copy())], names=["toxic", *names])
 
-    seen = rows.where(~F.col("counted")).select("text", "toxic").mapInArrow(measure, "toxic int, a double, b double").toArrow()
+    names = [f"f{k}" for k in range(FEATURES)]
+    seen = rows.where(~F.col("counted")).select("text", "toxic").mapInArrow(measure, ", ".join(["toxic int", *(f"{x} double" for x in names)])).toArrow()
     y = seen.column("toxic").to_numpy().astype(float)
-    x = np.column_stack([seen.column("a").to_numpy(), seen.column("b").to_numpy()])
+    x = np.column_stack([seen.column(c).to_numpy() for c in names])
     curve = logistic(x, y) if len(y) and 0 < y.sum() < len(y) else None
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
