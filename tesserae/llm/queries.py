@@ -42,12 +42,24 @@ def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(write_token_files(table(spark, sf_dir, "documents"), _tokenizer()))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring_dedup import substring_dedup
+
+    return substring_dedup(table(spark, sf_dir, "documents"))
+
+
 def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .topk import exact_top_k
 
     return exact_top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngram_join import jaccard_components
+
+    return jaccard_components(table(spark, sf_dir, "documents"), width=3, num=9, den=10)
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mixed
 
@@ -67,6 +79,6 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_along_curve(table(spark, sf_dir, "documents"), _tokenizer())
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_quality_rules, op3_language_id, op4_token_store, op6_exact_top_k, op8_mixing, op9_secret_scan, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_quality_rules, op3_language_id, op4_token_store, op5_substring_dedup, op6_exact_top_k, op7_ngram_join, op8_mixing, op9_secret_scan, op10_packing)}
 
 ORACLE_SQL: dict[str, str] = {}
