@@ -164,7 +164,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int = 2, file_tok
         if names:
             yield flush()
 
-    ordered = docs.select("doc_id", "text").repartitionByRange(parts, "doc_id", "text").sortWithinPartitions("doc_id", "text")
+    ordered = docs.select("doc_id", "text").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
     return saved(ordered.mapInArrow(run, FILES), "token-files", "zstd")
 
 

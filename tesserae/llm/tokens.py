@@ -9,13 +9,14 @@ so the ids are always those of the whole text.
 
 from __future__ import annotations
 
+import gc
 import json
 import string
 from array import array
 
 from .common import worker_threads
 
-CACHE_PIECES = 700_000
+CACHE_PIECES = 1_400_000
 PIECE_CHARS = 64
 _TAIL = string.punctuation
 
@@ -59,6 +60,15 @@ class Encoder:
         texts = [t or "" for t in texts]
         if not self.by_piece:
             return self.whole(texts)
+        on = gc.isenabled()
+        gc.disable()  # the many strings held here form no cycles
+        try:
+            return self._encode(texts)
+        finally:
+            if on:
+                gc.enable()
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
         if len(self.cache) > CACHE_PIECES:
             self.cache.clear()
         cache, tails, firsts, cut, rows, new = self.cache, self.tails, [], [], [], set()
