@@ -14,6 +14,8 @@ import json
 import string
 from array import array
 
+import numpy as np
+
 from .common import worker_threads
 
 CACHE_PIECES = 1_400_000
@@ -21,10 +23,21 @@ PIECE_CHARS = 64
 _TAIL = string.punctuation
 
 
+def _byte_alphabet() -> dict[int, str]:
+    """Byte to character of byte-level vocabularies: printable Latin-1 as itself, others from U+0100 on."""
+    shown = [b for b in range(256) if 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or b >= 0xAE]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
+
+
+_ALPHABET = _byte_alphabet()
+
+
 class Encoder:
     def __init__(self, path: str):
         worker_threads()
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import WhitespaceSplit
 
         self.path = path
         self.tokenizer = Tokenizer.from_file(path)
@@ -33,6 +46,11 @@ class Encoder:
         pre = spec.get("pre_tokenizer") or {}
         self.by_piece = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not spec.get("normalizer")
         self.special = [x["content"] for x in spec.get("added_tokens", [])]
+        mark = self.whole(["\n"])[0]
+        self.mark = int.from_bytes(mark, "little") if len(mark) == 4 and self.by_piece else None
+        self.feed = mark
+        self.split = Tokenizer.from_file(path)  # for words that are one pre-token each
+        self.split.pre_tokenizer = WhitespaceSplit()
         self.cache: dict[str, bytes] = {}
         self.tails: dict[str, bytes] = {}
 
@@ -41,6 +59,30 @@ class Encoder:
             return []
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def words(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of pieces, each as it stands in a text.
+
+        Pieces of letters alone, behind a space or a line feed, are one pre-token; many go
+        to the library at once in its byte alphabet, with line feeds between them.
+        """
+        plain = [p for p in words if (p[1:] if p[0] == "\n" else p).isalpha()] if self.mark is not None else []
+        out: dict[str, bytes] = {}
+        for at in range(0, len(plain), 500):
+            some = plain[at : at + 500]
+            shown = [p[1:] if p[0] == "\n" else " " + p for p in some]
+            line = f" {_ALPHABET[10]} ".join([p.encode().decode("latin1").translate(_ALPHABET) for p in shown])
+            ids = np.array(self.split.encode_batch_fast([line], add_special_tokens=False)[0].ids, "<u4")
+            cut = np.flatnonzero(ids == self.mark)
+            if len(cut) == len(some) - 1:
+                raw, ends = ids.tobytes(), [*(cut * 4).tolist(), len(ids) * 4]
+                start = 0
+                for p, end in zip(some, ends, strict=True):
+                    out[p] = self.feed + raw[start:end] if p[0] == "\n" else raw[start:end]
+                    start = end + 4
+        rest = [p for p in words if p not in out]
+        out.update(zip(rest, self.whole([p if p[0] == "\n" else " " + p for p in rest]), strict=True))
+        return out
+
     def pieces(self, text: str) -> list[str]:
         """The first piece, then pieces that begin with a line feed or lack their leading space."""
         if " ".join(text.split()) == text.replace("\n", " "):
@@ -93,7 +135,7 @@ class Encoder:
                 p = base
             if p not in cache:
                 extra[p] = b""
-        extra = dict(zip(extra, self.whole([p if p[0] == "\n" else " " + p for p in extra]), strict=True))
+        extra = self.words(list(extra))
         unknown = [t for t in {tail for _, _, tail in ended} if t not in tails]
         tails.update(zip(unknown, self.whole(unknown), strict=True))
         for p, base, tail in ended:
