@@ -86,7 +86,7 @@ class Lists:
 
     def __init__(self, sets: list[np.ndarray]):
         self.sets = sets
-        self.sizes = np.array([len(s) for s in sets])
+        self.sizes = np.array([len(s) for s in sets], np.int64)
         tokens = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
         owner = np.repeat(np.arange(len(sets)), self.sizes)
         order = np.lexsort((owner, tokens))
@@ -268,7 +268,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 8, den: int =
             found = _checked(rows, width)
             yield _out(link_block([k for k, *_ in found], [s for _, _, s in found], [e for _, e, _ in found], num, den), ("a", "b"))
 
-    placed = members.join(texts, F.col("rep") == F.col("t_id")).withColumn("block", F.explode(F.when(F.col("leader"), everywhere).otherwise(F.array("own"))))
+    placed = members.hint("merge").join(texts, F.col("rep") == F.col("t_id")).withColumn("block", F.explode(F.when(F.col("leader"), everywhere).otherwise(F.array("own"))))
     placed = placed.select("root", "block", "key", "leader", "text").repartition(parts, "root", "block").sortWithinPartitions("root", "block", "key")
     links = saved(placed.mapInArrow(first_round, "a long, b long").distinct(), "join-links")
 
@@ -294,7 +294,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 8, den: int =
 
             own = held.select("root", F.col("own").alias("block"), "key", "rep", "part", F.lit(False).alias("query"))
             asked = held.where("apart").select("root", F.explode(everywhere).alias("block"), "key", "rep", "part", F.lit(True).alias("query"))
-            rows = own.union(asked).join(texts, F.col("rep") == F.col("t_id")).select("root", "block", "key", F.struct("part", "query").alias("mark"), "text")
+            rows = own.union(asked).hint("merge").join(texts, F.col("rep") == F.col("t_id")).select("root", "block", "key", F.struct("part", "query").alias("mark"), "text")
             rows = rows.repartition(parts, "root", "block").sortWithinPartitions("root", "block", "key")
             links = links.union(saved(rows.mapInArrow(second_round, "a long, b long"), "join-links"))
 
