@@ -3,11 +3,11 @@
 A passage is a window of words.  Of the shorter grams inside it, the one with the
 smallest hash is its anchor; equal windows have equal anchors.  Anchors that only one
 document holds rule their windows out.  The runs of windows on the other anchors
-(segments) are dealt to shards by anchor, each distinct segment once with the smallest
-doc_id that holds it.  Each shard builds an FM-index of its segments and finds every
-window by backward search; the smallest doc_id in the window's suffix interval says
-whether an earlier document holds it.  Windows on an anchor that very many documents
-hold are dealt one by one, by their own hash, so that no shard holds them all.
+(segments) are dealt to shards by anchor.  Each shard builds an FM-index of its
+distinct segments and finds every window by backward search; the smallest doc_id in
+the window's suffix interval says whether an earlier document holds it.  Windows on an
+anchor that very many documents hold are dealt one by one, by their own hash, each
+distinct one once, and their answers are joined back, so that no shard holds them all.
 """
 
 from __future__ import annotations
@@ -28,6 +28,7 @@ WINDOW, GRAM = 13, 5
 HOT = 200
 SHARD_WORDS = 300_000
 POSTINGS = 1 << 21
+BLOB_BYTES = 1 << 24
 
 
 def anchors(hashes: np.ndarray, ends: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -47,17 +48,11 @@ def anchors(hashes: np.ndarray, ends: np.ndarray, window: int, gram: int) -> tup
         best[less] = other[less]
         place[less] = k
     first = np.arange(n)
-    doc = np.searchsorted(ends, first, side="right")
-    inside = first + window <= ends[np.minimum(doc, len(ends) - 1)]
+    doc = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))[:n]
+    inside = first + window <= ends[doc]
     return doc[inside], first[inside], (first + place)[inside], best[inside]
 
 
-def _encoded(texts: list[str | None]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    raws = [(t or "").encode() for t in texts]
-    hashes, offsets = H.words(raws)
-    return raws, hashes, offsets
-
-
 def _postings(window: int, gram: int) -> Callable:
     """Rows (kind, x, y, n): 0 an anchor x, a document y that holds it, and how many of the
     task's do; 1 an anchor x found in document y of several in the task."""
@@ -70,12 +65,10 @@ def _postings(window: int, gram: int) -> Callable:
             x, y = (np.concatenate(c) for c in zip(*held, strict=True))
             order = np.lexsort((y, x))
             x, y = x[order], y[order]
-            same = (x[1:] == x[:-1]) & (y[1:] == y[:-1])
-            keep = np.append(True, ~same)
+            keep = np.append(True, (x[1:] != x[:-1]) | (y[1:] != y[:-1]))
             x, y = x[keep], y[keep]
             head = np.append(True, x[1:] != x[:-1])
-            at = np.flatnonzero(head)
-            n = np.diff(np.append(at, len(x)))
+            n = np.diff(np.append(np.flatnonzero(head), len(x)))
             many = np.repeat(n > 1, n)
             for kind, a, b, c in ((0, x[head], y[head], n), (1, x[many], y[many], np.ones(int(many.sum()), np.int64))):
                 for k in range(0, len(a), 50_000):
@@ -83,7 +76,7 @@ def _postings(window: int, gram: int) -> Callable:
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a[part]), kind, np.int32)), pa.array(a[part]), pa.array(b[part]), pa.array(c[part])], names=["kind", "x", "y", "n"])
 
         for batch in batches:
-            _, hashes, offsets = _encoded(batch.column(1).to_pylist())
+            hashes, offsets = H.words([(t or "").encode() for t in batch.column(1).to_pylist()])
             doc, _, place, anchor = anchors(hashes, offsets[1:], window, gram)
             new = np.append(True, (place[1:] != place[:-1]) | (doc[1:] != doc[:-1]))[: len(doc)]
             held.append((anchor[new].view(np.int64), np.array(batch.column(0).to_pylist(), np.int64)[doc[new]]))
@@ -98,7 +91,7 @@ def _postings(window: int, gram: int) -> Callable:
 
 
 def _shared(hot: int) -> Callable:
-    """Over postings sorted by (x, y): rows (kind, x, y) of anchors in several documents (1), and of
+    """Over postings sorted by x: rows (kind, x, y) of anchors in several documents (1), and of
     anchors in more than `hot` (2)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,11 +100,9 @@ def _shared(hot: int) -> Callable:
         def emit(x, y, n):
             head = np.append(True, x[1:] != x[:-1])
             at = np.flatnonzero(head)
-            size = np.diff(np.append(at, len(x)))
             group = np.cumsum(head) - 1
-            differs = np.add.reduceat((y != y[at][group]).astype(np.int64), at) > 0
-            total = np.add.reduceat(n, at)
-            hit, hots = differs[group] & (size[group] > 1), at[total > hot]
+            several = np.add.reduceat((y != y[at][group]).astype(np.int64), at) > 0
+            hit, hots = several[group], at[np.add.reduceat(n, at) > hot]
             columns = [np.concatenate([np.full(int(hit.sum()), 1, np.int32), np.full(len(hots), 2, np.int32)]), np.concatenate([x[hit], x[hots]]), np.concatenate([y[hit], y[hots]])]
             return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["kind", "x", "y"])
 
@@ -135,43 +126,81 @@ def _shared(hot: int) -> Callable:
     return run
 
 
-def segments(text: str, shared: np.ndarray, hot: np.ndarray, window: int, gram: int) -> Iterator[tuple[int, int, bytes]]:
-    """(key, first word, words) of each run of windows on one shared anchor; on hot ones, of each window."""
-    raws, hashes, offsets = _encoded([text])
-    words = raws[0].split()
-    _, first, place, anchor = anchors(hashes, offsets[1:], window, gram)
-    keep = np.isin(anchor, shared)
-    if not keep.any():
-        return
-    first, place, anchor = first[keep], place[keep], anchor[keep]
-    single = np.isin(anchor, hot)
-    start = np.append(True, (np.diff(place) != 0) | (np.diff(first) != 1) | single[1:])
-    at = np.flatnonzero(start)
-    ends = first[np.append(at[1:], len(first)) - 1] + window
-    keys = np.where(single[at], H.mix(H.windows(hashes, window)[first[at]]), anchor[at])
-    for key, a, b in zip(keys.view(np.int64).tolist(), first[at].tolist(), ends.tolist(), strict=True):
-        yield key, a, b" ".join(words[a:b])
-
-
-def earliest(shard: list[tuple[bytes, int]], window: int) -> list[list[int]]:
-    """For each (words, smallest doc_id) of a shard, the smallest doc_id that holds each of its windows."""
+def _zip(raw: bytes) -> bytes:
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=3).compress(raw)
+
+
+def _unzip(raw: bytes) -> bytes:
+    import zstandard
+
+    return zstandard.ZstdDecompressor().decompress(raw)
+
+
+class _Segments:
+    """The segments of a batch of documents: documents (places in the batch), keys, whether they
+    are single windows of hot anchors, first words, and their words."""
+
+    def __init__(self, texts: list[bytes], shared: list[np.ndarray], hot: list[np.ndarray], window: int, gram: int):
+        plain = [b" ".join(t.split()) for t in texts]
+        hashes, offsets = H.words(plain)
+        doc, first, place, anchor = anchors(hashes, offsets[1:], window, gram)
+        wanted = self._marked(doc, anchor, shared)
+        doc, first, place, anchor = doc[wanted], first[wanted], place[wanted], anchor[wanted]
+        alone = self._marked(doc, anchor, hot)
+        start = np.append(True, (np.diff(place) != 0) | (np.diff(first) != 1) | (np.diff(doc) != 0) | alone[1:])[: len(doc)]
+        at = np.flatnonzero(start)
+        last = first[np.append(at[1:], len(first))[: len(at)] - 1]
+        self.doc, self.hot, begin, end = doc[at], alone[at], first[at], last + window
+        self.first = begin - offsets[self.doc]
+        self.key = anchor[at].copy()
+        self.key[self.hot] = H.mix(H.windows(hashes, window)[begin[self.hot]])
+        self.key = self.key.view(np.int64)
+        self.n_words = end - begin
+        self.raw = b" ".join(p for p in plain if p) + b" "
+        gaps = np.flatnonzero(np.frombuffer(self.raw, np.uint8) == 32)
+        self.begin = np.append(0, gaps + 1)[begin] if len(begin) else begin
+        self.end = gaps[end - 1] if len(end) else end
+
+    @staticmethod
+    def _marked(doc: np.ndarray, anchor: np.ndarray, of: list[np.ndarray]) -> np.ndarray:
+        sizes = [len(x) for x in of]
+        if not sum(sizes) or not len(doc):
+            return np.zeros(len(doc), bool)
+        marks = H.combine(np.concatenate(of).view(np.uint64), np.repeat(np.arange(len(of)), sizes).astype(np.uint64))
+        return np.isin(H.combine(anchor, doc.astype(np.uint64)), marks)
+
+    def words(self, which: np.ndarray) -> list[bytes]:
+        raw = self.raw
+        return [raw[a:b] for a, b in zip(self.begin[which].tolist(), self.end[which].tolist(), strict=True)]
+
+
+def earliest(segments: list[bytes], least: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """The smallest of the ids `least` over the segments that hold each window, for all windows of
+    all segments in order; and where each segment's windows begin."""
     names: dict[bytes, int] = {}
-    sequences = [np.array([names.setdefault(w, len(names) + 1) for w in words.split(b" ")], np.int64) for words, _ in shard]
-    index = FMIndex(sequences, len(names))
-    patterns = np.concatenate([np.lib.stride_tricks.sliding_window_view(s, window) for s in sequences])
+    name = names.setdefault
+    split = [s.split(b" ") for s in segments]
+    symbols = np.array([name(w, len(names) + 1) for s in split for w in s], np.int64)
+    sizes = np.array([len(s) for s in split], np.int64)
+    ends = np.cumsum(sizes)
+    index = FMIndex(np.split(symbols, ends[:-1]), len(names))
+    first = np.arange(len(symbols))
+    inside = first + window <= np.repeat(ends, sizes)
+    patterns = symbols[first[inside][:, None] + np.arange(window)]
     low, high = index.find(patterns)
-    found = index.least(low, high, np.array([d for _, d in shard], np.int64)).tolist()
-    out, at = [], 0
-    for s in sequences:
-        out.append(found[at : at + len(s) - window + 1])
-        at += len(s) - window + 1
-    return out
+    return index.least(low, high, least), np.cumsum(sizes - window + 1) - (sizes - window + 1)
 
 
 def _digest(words: list[bytes]) -> str:
     return hashlib.sha256(b" ".join(words)).hexdigest()
 
 
+GONE = "g_doc long, g_row long, first int, hit binary"
+_GONE = pa.schema([("g_doc", pa.int64()), ("g_row", pa.int64()), ("first", pa.int32()), ("hit", pa.binary())])
+
+
 def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256: words of windows an earlier document holds are removed.
 
@@ -183,89 +212,173 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot
     table gives no rows.  Grams choose candidates by 64-bit hashes; the indexes hold the
     words themselves.
     """
-    import xxhash
-
     spark = docs.sparkSession
     small_batches(spark)
     parts = partitions(spark)
-    plain = docs.select("doc_id", "text")
+    rows = docs.select("doc_id", "text").withColumn("row", F.xxhash64("text"))
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             words = [(t or "").encode().split() for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(w) for w in words], pa.int64()), pa.array([_digest(w) for w in words])], names=["doc_id", "row", "n_words", "whole_sha256"])
 
-    rows = plain.withColumn("row", F.xxhash64("text"))
     base = rows.select("doc_id", "row", "text").mapInArrow(whole, "doc_id long, row long, n_words long, whole_sha256 string")
 
-    postings = plain.where("doc_id is not null and text is not null").mapInArrow(_postings(window, gram), "kind int, x long, y long, n long")
-    dealt = postings.repartition(parts, "x").sortWithinPartitions("x", "y", "kind")
+    usable = rows.where("doc_id is not null and text is not null")
+    postings = usable.select("doc_id", "text").mapInArrow(_postings(window, gram), "kind int, x long, y long, n long")
+    dealt = postings.repartition(parts, "x").sortWithinPartitions("x")
     found = saved(dealt.mapInArrow(_shared(hot), "kind int, x long, y long"), "dedup-anchors")
     hots = found.where("kind = 2").select(F.col("x").alias("h")).distinct()
     hits = found.where("kind = 1").select("x", "y").join(hots, F.col("x") == F.col("h"), "left")
     hits = hits.groupBy("y").agg(F.collect_set("x").alias("shared"), F.collect_set("h").alias("hot"))
-    candidates = saved(rows.join(hits, F.col("doc_id") == F.col("y")).select("doc_id", "row", "text", "shared", "hot"), "dedup-candidates")
 
-    def cut(with_words: bool) -> Callable:
+    def zipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = pa.array([_zip(t.encode()) for t in batch.column(2).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), texts], names=["doc_id", "row", "zipped"])
+
+    small = usable.select("doc_id", "row", "text").mapInArrow(zipped, "doc_id long, row long, zipped binary")
+    candidates = saved(small.hint("merge").join(hits, F.col("doc_id") == F.col("y")).select("doc_id", "row", "zipped", "shared", "hot"), "dedup-candidates")
+
+    def cut(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, _Segments]:
+        ids, row = (np.array(batch.column(k).to_pylist(), np.int64) for k in (0, 1))
+        lists = [[np.array(x, np.int64) for x in batch.column(k).to_pylist()] for k in (3, 4)]
+        return ids, row, _Segments([_unzip(z) for z in batch.column(2).to_pylist()], *lists, window, gram)
+
+    def to_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Segments of anchors that aren't hot, as compressed tables, one for each shard and flush."""
+        held: list[pa.Table] = []
+        size = 0
+
+        def flush() -> pa.RecordBatch:
+            table = pa.concat_tables(held).combine_chunks()
+            shard = (H.mix(table.column("key").to_numpy().view(np.uint64)) % np.uint64(parts)).astype(np.int64)
+            order = np.lexsort((table.column("key").to_numpy(), shard))
+            table, shard = table.take(pa.array(order)), shard[order]
+            at = np.flatnonzero(np.append(True, shard[1:] != shard[:-1]))
+            blobs = []
+            for a, b in zip(at, np.append(at[1:], len(shard)), strict=True):
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, table.schema) as writer:
+                    writer.write_table(table.slice(a, b - a))
+                blobs.append(_zip(sink.getvalue().to_pybytes()))
+            return pa.RecordBatch.from_arrays([pa.array(shard[at]), pa.array(blobs, pa.binary())], names=["shard", "blob"])
+
+        for batch in batches:
+            ids, row, s = cut(batch)
+            which = np.flatnonzero(~s.hot)
+            if len(which):
+                columns = {"key": s.key[which], "doc": ids[s.doc[which]], "row": row[s.doc[which]], "first": s.first[which].astype(np.int32)}
+                held.append(pa.table({**columns, "words": pa.array(s.words(which), pa.binary())}))
+                size += held[-1].nbytes
+            if size >= BLOB_BYTES:
+                yield flush()
+                held, size = [], 0
+        if held:
+            yield flush()
+
+    def search_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Index and search the segments of one partition's shards, some keys at a time."""
+        tables: dict[int, list[bytes]] = {}
+        for batch in batches:
+            for shard, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                tables.setdefault(shard, []).append(blob)
+        for blobs in tables.values():
+            # Keys are dealt to passes by hash, so that a pass unpacks few words at a time.
+            words = sum(_words_in(b) for b in blobs)
+            passes = max(1, -(-words // SHARD_WORDS))
+            kept: list[list[pa.Table]] = [[] for _ in range(passes)]
+            for blob in blobs:
+                t = pa.ipc.open_stream(_unzip(blob)).read_all()
+                turn = ((H.mix(t.column("key").to_numpy().view(np.uint64)) >> np.uint64(40)) % np.uint64(passes)).astype(np.int64)
+                for p in range(passes):
+                    kept[p].append(t.filter(pa.array(turn == p)))
+            for p in range(passes):
+                part, kept[p] = pa.concat_tables(kept[p]).combine_chunks(), []
+                if len(part):
+                    yield _answers(part, window)
+
+    shards = candidates.mapInArrow(to_shards, "shard long, blob binary").repartition(parts, "shard")
+    gone = saved(shards.mapInArrow(search_shard, GONE), "dedup-windows")
+
+    def hot_windows(with_words: bool) -> Callable:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            names = ["key", "name", "doc_id"] + (["words"] if with_words else ["row", "first"])
             for batch in batches:
-                out: list[tuple] = []
-                for doc_id, row, text, shared, hot_ones in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    for key, first, words in segments(text, *(np.array(sorted(s), np.int64).view(np.uint64) for s in (shared, hot_ones)), window, gram):
-                        name = xxhash.xxh64_intdigest(words) - (1 << 63)
-                        out.append((key, name, doc_id, words) if with_words else (key, name, doc_id, row, first))
-                if out:
-                    kinds = [pa.int64()] * 3 + ([pa.binary()] if with_words else [pa.int64(), pa.int64()])
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+                ids, row, s = cut(batch)
+                which = np.flatnonzero(s.hot)
+                if len(which):
+                    doc = s.doc[which]
+                    more = [pa.array(s.words(which), pa.binary())] if with_words else [pa.array(row[doc]), pa.array(s.first[which].astype(np.int32))]
+                    yield pa.RecordBatch.from_arrays([pa.array(s.key[which]), pa.array(ids[doc]), *more], names=["key", "doc_id", "words"] if with_words else ["key", "doc_id", "row", "first"])
 
         return run
 
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names: list[tuple[int, int]] = []
-        shard: list[tuple[bytes, int]] = []
-        size, last = 0, None
+    def search_hot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Index and search distinct hot windows, sorted by key, some at a time."""
+        held: list[pa.RecordBatch] = []
 
         def flush() -> pa.RecordBatch:
-            key, name = zip(*names, strict=True)
-            return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(name, pa.int64()), pa.array(earliest(shard, window), pa.list_(pa.int64()))], names=["s_key", "s_name", "earliest"])
+            t = pa.Table.from_batches(held).combine_chunks()
+            least, _ = earliest(t.column("words").to_pylist(), t.column("doc_id").to_numpy(), window)
+            return pa.RecordBatch.from_arrays([t.column("key").combine_chunks(), t.column("words").combine_chunks(), pa.array(least)], names=["s_key", "s_words", "earliest"])
 
         for batch in batches:
-            for key, name, words, doc_id in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if size >= SHARD_WORDS and key != last:
-                    yield flush()
-                    names, shard, size = [], [], 0
-                names.append((key, name))
-                shard.append((words, doc_id))
-                size, last = size + words.count(b" ") + 1, key
-        if shard:
+            if sum(b.num_rows for b in held) * window >= SHARD_WORDS:
+                yield flush()
+                held = []
+            if batch.num_rows:
+                held.append(batch)
+        if held:
             yield flush()
 
-    distinct = candidates.mapInArrow(cut(True), "key long, name long, doc_id long, words binary").groupBy("key", "name", "words").agg(F.min("doc_id").alias("doc_id"))
-    shards = distinct.repartition(parts, "key").sortWithinPartitions("key")
-    told = saved(shards.select("key", "name", "words", "doc_id").mapInArrow(search, "s_key long, s_name long, earliest array<long>"), "dedup-windows")
-    placed = candidates.mapInArrow(cut(False), "key long, name long, doc_id long, row long, first long")
-    gone = placed.join(told, (F.col("key") == F.col("s_key")) & (F.col("name") == F.col("s_name"))).where(F.exists("earliest", lambda x: x < F.col("doc_id")))
-    piece = F.struct("first", F.transform("earliest", lambda x: x < F.col("doc_id")).alias("hit"))
-    gone = gone.select(F.col("doc_id").alias("g_doc"), F.col("row").alias("g_row"), piece.alias("piece")).groupBy("g_doc", "g_row").agg(F.collect_set("piece").alias("gone"))
+    warm = candidates.where(F.size("hot") > 0)
+    distinct = warm.mapInArrow(hot_windows(True), "key long, doc_id long, words binary").groupBy("key", "words").agg(F.min("doc_id").alias("doc_id"))
+    told = distinct.repartition(parts, "key").select("key", "words", "doc_id").mapInArrow(search_hot, "s_key long, s_words binary, earliest long")
+    told = saved(told.groupBy("s_key").agg(F.min("earliest").alias("earliest")), "dedup-hot")
+    placed = warm.mapInArrow(hot_windows(False), "key long, doc_id long, row long, first int")
+    late = placed.join(told, F.col("key") == F.col("s_key")).where(F.col("earliest") < F.col("doc_id"))
+    late = late.select(F.col("doc_id").alias("g_doc"), F.col("row").alias("g_row"), "first", F.lit(b"\x01").alias("hit"))
+    pieces = gone.union(late).groupBy("g_doc", "g_row").agg(F.collect_set(F.struct("first", "hit")).alias("gone"))
 
     def strike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for doc_id, row, text, gone_pieces in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                words = text.encode().split()
+            for doc_id, row, packed, gone_pieces in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                words = _unzip(packed).split()
                 edge = np.zeros(len(words) + 1, np.int64)
                 for piece in gone_pieces:
-                    for k, hit in enumerate(piece["hit"], piece["first"]):
-                        if hit:
-                            edge[k] += 1
-                            edge[k + window] -= 1
+                    at = np.flatnonzero(np.frombuffer(piece["hit"], np.uint8)) + piece["first"]
+                    edge[at] += 1
+                    edge[at + window] -= 1
                 kept = [w for w, covered in zip(words, np.cumsum(edge[:-1]).tolist(), strict=True) if not covered]
                 out.append((doc_id, row, len(words) - len(kept), _digest(kept)))
             columns = list(zip(*out, strict=True)) or [[]] * 4
             yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], pa.string())], names=["k_doc", "k_row", "n_removed", "kept"])
 
-    struck = candidates.join(gone, (F.col("doc_id") == F.col("g_doc")) & (F.col("row") == F.col("g_row"))).select("doc_id", "row", "text", "gone")
+    struck = candidates.join(pieces, (F.col("doc_id") == F.col("g_doc")) & (F.col("row") == F.col("g_row"))).select("doc_id", "row", "zipped", "gone")
     struck = struck.mapInArrow(strike, "k_doc long, k_row long, n_removed long, kept string").dropDuplicates(["k_doc", "k_row"])
     out = base.join(struck, (F.col("doc_id") == F.col("k_doc")) & (F.col("row") == F.col("k_row")), "left")
     return out.select("doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("kept", "whole_sha256").alias("kept_sha256"))
+
+
+def _words_in(blob: bytes) -> int:
+    return pa.ipc.open_stream(_unzip(blob)).read_all().column("words").nbytes // 6
+
+
+def _answers(part: pa.Table, window: int) -> pa.RecordBatch:
+    """Of one pass's segments, those with windows that an earlier document holds."""
+    words = part.column("words").combine_chunks().dictionary_encode()
+    if isinstance(words, pa.ChunkedArray):
+        words = words.combine_chunks()
+    which = words.indices.to_numpy()
+    segments = words.dictionary.to_pylist()
+    doc = part.column("doc").to_numpy()
+    least = np.full(len(segments), np.iinfo(np.int64).max)
+    np.minimum.at(least, which, doc)
+    found, at = earliest(segments, least, window)
+    ends = np.append(at[1:], len(found))
+    rows, first = part.column("row").to_numpy(), part.column("first").to_numpy()
+    lowest = np.minimum.reduceat(found, at)
+    late = np.flatnonzero(lowest[which] < doc)
+    hits = [(found[at[w] : ends[w]] < d).astype(np.uint8).tobytes() for w, d in zip(which[late].tolist(), doc[late].tolist(), strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array(doc[late]), pa.array(rows[late]), pa.array(first[late]), pa.array(hits, pa.binary())], schema=_GONE)
