@@ -34,7 +34,7 @@ _LUT[:33] = 32
 
 def _joined(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Bytes of all texts in lower case with blanks before each, and where each begins and ends."""
-    raws = [(t or "").lower().encode() for t in texts]
+    raws = [(t or "").strip().lower().encode() for t in texts]
     data = np.frombuffer(b"".join(b" " * _GAP + r for r in raws), np.uint8)
     sizes = np.array([len(r) for r in raws], np.int64)
     ends = np.cumsum(sizes + _GAP)
