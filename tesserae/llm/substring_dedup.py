@@ -8,12 +8,14 @@ distinct segments and finds every window by backward search; the smallest doc_id
 the window's suffix interval says whether an earlier document holds it.  Windows on an
 anchor that very many documents hold are dealt one by one, by their own hash, each
 distinct one once, and their answers are joined back, so that no shard holds them all.
+Copies of one sequence of words are one text with the smallest of their doc_ids.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +27,7 @@ from .common import partitions, saved, small_batches
 from .fm_index import FMIndex
 
 WINDOW, GRAM = 13, 5
-HOT = 200
+HOT = 5_000
 SHARD_WORDS = 300_000
 POSTINGS = 1 << 21
 BLOB_BYTES = 1 << 24
@@ -54,8 +56,8 @@ def anchors(hashes: np.ndarray, ends: np.ndarray, window: int, gram: int) -> tup
 
 
 def _postings(window: int, gram: int) -> Callable:
-    """Rows (kind, x, y, n): 0 an anchor x, a document y that holds it, and how many of the
-    task's do; 1 an anchor x found in document y of several in the task."""
+    """Rows (kind, x, y, n): 0 an anchor x, a text y that holds it, and how many of the task's
+    do; 1 an anchor x found in text y of several in the task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -76,10 +78,12 @@ def _postings(window: int, gram: int) -> Callable:
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a[part]), kind, np.int32)), pa.array(a[part]), pa.array(b[part]), pa.array(c[part])], names=["kind", "x", "y", "n"])
 
         for batch in batches:
-            hashes, offsets = H.words([(t or "").encode() for t in batch.column(1).to_pylist()])
+            words = [(t or "").encode().split() for t in batch.column(0).to_pylist()]
+            named = np.array([_content(_digest(w)) for w in words], np.int64)
+            hashes, offsets = H.words([b" ".join(w) for w in words])
             doc, _, place, anchor = anchors(hashes, offsets[1:], window, gram)
             new = np.append(True, (place[1:] != place[:-1]) | (doc[1:] != doc[:-1]))[: len(doc)]
-            held.append((anchor[new].view(np.int64), np.array(batch.column(0).to_pylist(), np.int64)[doc[new]]))
+            held.append((anchor[new].view(np.int64), named[doc[new]]))
             size += int(new.sum())
             if size >= POSTINGS:
                 yield from flush()
@@ -91,7 +95,7 @@ def _postings(window: int, gram: int) -> Callable:
 
 
 def _shared(hot: int) -> Callable:
-    """Over postings sorted by x: rows (kind, x, y) of anchors in several documents (1), and of
+    """Over postings sorted by x: rows (kind, x, y) of anchors in several texts (1), and of
     anchors in more than `hot` (2)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,6 +201,11 @@ def _digest(words: list[bytes]) -> str:
     return hashlib.sha256(b" ".join(words)).hexdigest()
 
 
+def _content(digest: str) -> int:
+    """64 bits of a text's digest, as the name that its copies share."""
+    return int(digest[:16], 16) - (1 << 63)
+
+
 GONE = "g_doc long, g_row long, first int, hit binary"
 _GONE = pa.schema([("g_doc", pa.int64()), ("g_row", pa.int64()), ("first", pa.int32()), ("hit", pa.binary())])
 
@@ -220,25 +229,32 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             words = [(t or "").encode().split() for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(w) for w in words], pa.int64()), pa.array([_digest(w) for w in words])], names=["doc_id", "row", "n_words", "whole_sha256"])
+            digests = [_digest(w) for w in words]
+            content = pa.array([_content(d) for d in digests], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(w) for w in words], pa.int64()), pa.array(digests, pa.string()), content], names=["doc_id", "row", "n_words", "whole_sha256", "content"])
 
-    base = rows.select("doc_id", "row", "text").mapInArrow(whole, "doc_id long, row long, n_words long, whole_sha256 string")
+    base = saved(rows.select("doc_id", "row", "text").mapInArrow(whole, "doc_id long, row long, n_words long, whole_sha256 string, content long"), "dedup-rows")
+    texts = base.where(F.col("doc_id").isNotNull() & (F.col("n_words") >= window)).groupBy("whole_sha256", "content").agg(F.min("doc_id").alias("rep"))
 
     usable = rows.where("doc_id is not null and text is not null")
-    postings = usable.select("doc_id", "text").mapInArrow(_postings(window, gram), "kind int, x long, y long, n long")
+    postings = usable.select("text").mapInArrow(_postings(window, gram), "kind int, x long, y long, n long")
     dealt = postings.repartition(parts, "x").sortWithinPartitions("x")
     found = saved(dealt.mapInArrow(_shared(hot), "kind int, x long, y long"), "dedup-anchors")
     hots = found.where("kind = 2").select(F.col("x").alias("h")).distinct()
     hits = found.where("kind = 1").select("x", "y").join(hots, F.col("x") == F.col("h"), "left")
     hits = hits.groupBy("y").agg(F.collect_set("x").alias("shared"), F.collect_set("h").alias("hot"))
+    hits = hits.join(texts.select("content", "rep"), F.col("y") == F.col("content")).select("rep", F.col("content").alias("named"), "shared", "hot")
 
     def zipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = pa.array([_zip(t.encode()) for t in batch.column(2).to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), texts], names=["doc_id", "row", "zipped"])
+            plain = [b" ".join(t.encode().split()) for t in batch.column(2).to_pylist()]
+            texts = pa.array([_zip(t) for t in plain], pa.binary())
+            content = pa.array([_content(_digest([t])) for t in plain], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), texts, content], names=["doc_id", "row", "zipped", "content"])
 
-    small = usable.select("doc_id", "row", "text").mapInArrow(zipped, "doc_id long, row long, zipped binary")
-    candidates = saved(small.hint("merge").join(hits, F.col("doc_id") == F.col("y")).select("doc_id", "row", "zipped", "shared", "hot"), "dedup-candidates")
+    small = usable.select("doc_id", "row", "text").mapInArrow(zipped, "doc_id long, row long, zipped binary, content long")
+    candidates = small.hint("merge").join(hits, (F.col("doc_id") == F.col("rep")) & (F.col("content") == F.col("named")))
+    candidates = saved(candidates.select("doc_id", "row", "zipped", "shared", "hot"), "dedup-candidates")
 
     def cut(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, _Segments]:
         ids, row = (np.array(batch.column(k).to_pylist(), np.int64) for k in (0, 1))
@@ -342,23 +358,32 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot
 
     def strike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for doc_id, row, packed, gone_pieces in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                words = _unzip(packed).split()
-                edge = np.zeros(len(words) + 1, np.int64)
-                for piece in gone_pieces:
-                    at = np.flatnonzero(np.frombuffer(piece["hit"], np.uint8)) + piece["first"]
-                    edge[at] += 1
-                    edge[at + window] -= 1
-                kept = [w for w, covered in zip(words, np.cumsum(edge[:-1]).tolist(), strict=True) if not covered]
-                out.append((doc_id, row, len(words) - len(kept), _digest(kept)))
-            columns = list(zip(*out, strict=True)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], pa.string())], names=["k_doc", "k_row", "n_removed", "kept"])
+            words = [_unzip(z).split() for z in batch.column(2).to_pylist()]
+            starts = np.cumsum([0] + [len(w) + 1 for w in words])
+            pieces = batch.column(3).flatten()
+            doc = np.repeat(np.arange(len(words)), batch.column(3).value_lengths().to_numpy())
+            hits = pieces.field("hit").to_pylist()
+            sizes = np.array([len(h) for h in hits], np.int64)
+            ends = np.cumsum(sizes)
+            place = np.repeat(starts[doc] + pieces.field("first").to_numpy() - (ends - sizes), sizes) + np.arange(int(sizes.sum()))
+            place = place[np.frombuffer(b"".join(hits), np.uint8) > 0]
+            edge = np.zeros(starts[-1] + 1, np.int64)
+            np.add.at(edge, place, 1)
+            np.subtract.at(edge, place + window, 1)
+            stays = np.cumsum(edge) == 0
+            kept = [list(compress(w, stays[a : a + len(w)].tolist())) for w, a in zip(words, starts[:-1].tolist(), strict=True)]
+            gone_words = pa.array([len(w) - len(k) for w, k in zip(words, kept, strict=True)], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), gone_words, pa.array([_digest(k) for k in kept], pa.string())], names=["k_doc", "k_row", "n_removed", "kept"])
 
     struck = candidates.join(pieces, (F.col("doc_id") == F.col("g_doc")) & (F.col("row") == F.col("g_row"))).select("doc_id", "row", "zipped", "gone")
     struck = struck.mapInArrow(strike, "k_doc long, k_row long, n_removed long, kept string").dropDuplicates(["k_doc", "k_row"])
-    out = base.join(struck, (F.col("doc_id") == F.col("k_doc")) & (F.col("row") == F.col("k_row")), "left")
-    return out.select("doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("kept", "whole_sha256").alias("kept_sha256"))
+    firsts = texts.select(F.col("whole_sha256").alias("t_sha256"), "rep")
+    out = base.join(firsts, F.col("whole_sha256") == F.col("t_sha256"), "left")
+    out = out.join(struck, (F.col("doc_id") == F.col("k_doc")) & (F.col("row") == F.col("k_row")), "left")
+    copied = F.coalesce(F.col("doc_id") > F.col("rep"), F.lit(False))  # an earlier copy holds every window
+    removed = F.when(copied, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long")
+    kept_sha = F.when(copied, F.lit(_digest([]))).otherwise(F.coalesce("kept", "whole_sha256"))
+    return out.select("doc_id", "n_words", removed.alias("n_removed"), kept_sha.alias("kept_sha256"))
 
 
 def _words_in(blob: bytes) -> int:
