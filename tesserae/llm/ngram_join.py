@@ -170,7 +170,7 @@ def _out(rows: list[tuple], names: tuple[str, ...]) -> pa.RecordBatch:
 
 
 def _postings(width: int, num: int, den: int) -> Callable:
-    """One row for each signature and task, its smallest set; the task's other sets become edges to it."""
+    """Rows (x, y): a signature and a set that has it, once for the copies that a task reads."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -180,14 +180,10 @@ def _postings(width: int, num: int, den: int) -> Callable:
             sig, key = (np.concatenate(x) for x in zip(*held, strict=True))
             order = np.lexsort((key, sig))
             sig, key = sig[order], key[order]
-            head = np.append(True, sig[1:] != sig[:-1])
-            first = key[np.flatnonzero(head)][np.cumsum(head) - 1]
-            other = first != key
-            pairs = np.unique(np.stack([key[other], first[other]], axis=1), axis=0)
-            for a, b, edge in ((sig[head], key[head], False), (pairs[:, 0], pairs[:, 1], True)):
-                for at in range(0, len(a), 50_000):
-                    x, y = a[at : at + 50_000], b[at : at + 50_000]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), edge)), pa.array(x), pa.array(y)], names=["edge", "x", "y"])
+            new = np.append(True, (sig[1:] != sig[:-1]) | (key[1:] != key[:-1]))
+            sig, key = sig[new], key[new]
+            for at in range(0, len(sig), 50_000):
+                yield pa.RecordBatch.from_arrays([pa.array(sig[at : at + 50_000]), pa.array(key[at : at + 50_000])], names=["x", "y"])
 
         for batch in batches:
             for s in shingle_sets(batch.column(0).to_pylist(), width):
@@ -205,21 +201,19 @@ def _postings(width: int, num: int, den: int) -> Callable:
 
 
 def _star_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Edges from each further set of a signature to its first, over sorted rows."""
+    """Edges from each further set of a signature to its first, over rows sorted by both; rows
+    pass by, so a signature of very many sets takes time but no memory."""
     last_sig = last_key = None
     for batch in batches:
-        edge, x, y = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
-        a, b = [x[edge]], [y[edge]]
-        sig, key = x[~edge], y[~edge]
-        if len(sig):
-            head = np.append(sig[0] != last_sig, sig[1:] != sig[:-1])
-            place = np.maximum.accumulate(np.where(head, np.arange(len(sig)), -1))
-            first = np.where(place >= 0, key[np.maximum(place, 0)], last_key if last_key is not None else 0)
-            other = ~head & (first != key)
-            a.append(key[other])
-            b.append(first[other])
-            last_sig, last_key = sig[-1], first[-1]
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+        sig, key = (c.to_numpy() for c in batch.columns)
+        if not len(sig):
+            continue
+        head = np.append(sig[0] != last_sig, sig[1:] != sig[:-1])
+        place = np.maximum.accumulate(np.where(head, np.arange(len(sig)), -1))
+        first = np.where(place >= 0, key[np.maximum(place, 0)], last_key if last_key is not None else 0)
+        other = ~head & (first != key)
+        last_sig, last_key = sig[-1], first[-1]
+        yield pa.RecordBatch.from_arrays([pa.array(key[other]), pa.array(first[other])], names=["a", "b"])
 
 
 def jaccard_components(docs: DataFrame, width: int = 5, num: int = 8, den: int = 10, block: int = BLOCK) -> DataFrame:
@@ -231,10 +225,11 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 8, den: int =
     included.  Rows without a doc_id aren't compared and get a null component_id; rows
     repeated or of equal sets are one set.  An empty table gives no rows.
 
-    Sets are named by 64-bit hashes; texts go only to their cluster's blocks, of at
-    most `block` sets.  A cluster of more blocks has its leader, the set with most
-    agreeing parts, in every block; sets outside the leader's component are then
-    searched in all blocks, so no link between different components is lost.
+    Sets are named by 64-bit hashes; texts go only to their cluster's task, of at most
+    `block` sets.  A larger cluster is taken apart by the parts that its sets share; a
+    part that more than `block` sets share is dealt over blocks, with its first set in
+    every one, and sets outside that set's component are then searched in all of them,
+    so no link between different components is lost.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -250,16 +245,25 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 8, den: int =
     all_docs = saved(plain.mapInArrow(named, "doc_id long, key long, n_shingles long"), "join-docs")
     reps = saved(all_docs.where("doc_id is not null and key is not null").groupBy("key").agg(F.min("doc_id").alias("rep")), "join-reps")
 
-    postings = plain.where("doc_id is not null").select("text").mapInArrow(_postings(width, num, den), "edge boolean, x long, y long")
-    dealt = postings.repartition(parts, "x").sortWithinPartitions("edge", "x", "y")
+    postings = plain.where("doc_id is not null").select("text").mapInArrow(_postings(width, num, den), "x long, y long")
+    dealt = postings.repartition(parts, "x").sortWithinPartitions("x", "y")
     edges = saved(dealt.mapInArrow(_star_edges, "a long, b long").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")), "join-edges")
     clusters = saved(components(edges), "join-clusters")
 
     typical = edges.select(F.col("a").alias("k"), "n").union(edges.select("b", "n")).groupBy("k").agg(F.sum("n").alias("typical"))
     sizes = clusters.join(typical, F.col("node") == F.col("k")).groupBy("root").agg(F.count(F.lit(1)).alias("size"), F.max(F.struct("typical", "node")).alias("lead"))
-    sizes = sizes.select(F.col("root").alias("c_root"), F.ceil(F.col("size") / block).cast("int").alias("blocks"), F.col("lead.node").alias("lead"))
-    members = clusters.join(sizes, F.col("root") == F.col("c_root")).join(reps, F.col("node") == F.col("key"))
-    members = saved(members.select("root", "key", "rep", "blocks", (F.col("node") == F.col("lead")).alias("leader"), F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("own")), "join-members")
+    sizes = saved(sizes.select(F.col("root").alias("c_root"), "size", F.col("lead.node").alias("lead")), "join-sizes")
+    placed_in = clusters.join(sizes, F.col("root") == F.col("c_root"))
+    small = placed_in.where(F.col("size") <= block).select("root", F.col("node").alias("m_key"), (F.col("node") == F.col("lead")).alias("leader"), F.lit(1).alias("blocks"))
+    # A larger cluster may hang together by parts that few sets share: its sets meet by the
+    # first set of each part instead, and a pair that is linked meets at least once.
+    loose = placed_in.where(F.col("size") > block).select("node")
+    rays = edges.join(loose, F.col("b") == F.col("node"), "left_semi").select(F.col("b").alias("root"), F.col("a").alias("m_key"))
+    rays = rays.union(rays.select("root", F.col("root").alias("m_key")).distinct())
+    counts = rays.groupBy(F.col("root").alias("s_root")).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    stars = rays.join(counts, F.col("root") == F.col("s_root")).select("root", "m_key", (F.col("m_key") == F.col("root")).alias("leader"), "blocks")
+    members = small.union(stars).join(reps, F.col("m_key") == F.col("key"))
+    members = saved(members.select("root", "key", "rep", "blocks", "leader", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int").alias("own")), "join-members")
     texts = plain.withColumnRenamed("doc_id", "t_id")
     everywhere = F.sequence(F.lit(0), F.col("blocks") - 1)
 
