@@ -25,7 +25,7 @@ from .components import components
 
 BLOCK = 200
 GROWTH = 1.5
-POSTINGS = 1 << 21
+POSTINGS = 1 << 20
 
 
 def _bounds(top: int = 1 << 40) -> list[int]:
@@ -93,13 +93,19 @@ class Lists:
         self.tokens, first = np.unique(tokens[order], return_index=True)
         self.owner, self.ends = owner[order], np.append(first, len(tokens))
 
-    def links(self, query: np.ndarray, num: int, den: int) -> np.ndarray:
-        """Sets of the block at similarity num/den or more with the query."""
+    def links(self, query: np.ndarray, num: int, den: int, inside: bool = False) -> np.ndarray:
+        """Sets of the block at similarity num/den or more with the query.
+
+        inside: the query is one of the sets, so shingles of a single set are its own and
+        join it with none.
+        """
         n = len(query)
         if not n or not len(self.tokens):
             return np.zeros(0, np.int64)
         at = np.minimum(np.searchsorted(self.tokens, query), len(self.tokens) - 1)
         at = at[self.tokens[at] == query]
+        if inside:
+            at = at[self.ends[at + 1] - self.ends[at] > 1]
         least = -(-num * n // den)
         if len(at) < least:
             return np.zeros(0, np.int64)
@@ -143,7 +149,7 @@ def link_block(keys: list[int], sets: list[np.ndarray], leaders: list[bool], num
     lead = order[0]
     for k in order:
         if k == lead or find(k) != find(lead):
-            for y in lists.links(sets[k], num, den).tolist():
+            for y in lists.links(sets[k], num, den, True).tolist():
                 a, b = find(k), find(y)
                 if a != b:
                     parent[max(a, b)] = min(a, b)
@@ -297,7 +303,8 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 8, den: int =
                     yield _out(out, ("a", "b"))
 
             own = held.select("root", F.col("own").alias("block"), "key", "rep", "part", F.lit(False).alias("query"))
-            asked = held.where("apart").select("root", F.explode(everywhere).alias("block"), "key", "rep", "part", F.lit(True).alias("query"))
+            asked = held.where("apart").withColumn("block", F.explode(everywhere)).where("block <> own")
+            asked = asked.select("root", "block", "key", "rep", "part", F.lit(True).alias("query"))
             rows = own.union(asked).hint("merge").join(texts, F.col("rep") == F.col("t_id")).select("root", "block", "key", F.struct("part", "query").alias("mark"), "text")
             rows = rows.repartition(parts, "root", "block").sortWithinPartitions("root", "block", "key")
             links = links.union(saved(rows.mapInArrow(second_round, "a long, b long"), "join-links"))

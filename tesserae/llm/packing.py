@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import partitions, small_batches
-from .tokens import encoder
+from .tokens import CACHE_PIECES, encoder
 
 DIMS, BITS, BUCKETS = 3, 10, 256
 _SIGNS = np.random.default_rng(7).choice(np.array([-1.0, 1.0]), size=(BUCKETS, DIMS))
@@ -67,7 +67,7 @@ OUT = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, se
 _OUT = pa.schema([(c.split()[0], pa.int64()) for c in OUT.split(", ")])
 
 
-def pack_along_curve(docs: DataFrame, tokenizer: str, length: int = 1024, end_id: int = 0, parts: int | None = None) -> DataFrame:
+def pack_along_curve(docs: DataFrame, tokenizer: str, length: int = 1024, end_id: int = 0, parts: int | None = None, cache: int = CACHE_PIECES) -> DataFrame:
     """Order documents by the Hilbert key of their hashed vectors and fill sequences in that order.
 
     docs needs doc_id and text; other columns are ignored.  A null text is empty and
@@ -86,7 +86,7 @@ def pack_along_curve(docs: DataFrame, tokenizer: str, length: int = 1024, end_id
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), key], names=["doc_id", "text", "curve_key"])
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = encoder(tokenizer).encode, np.array([end_id], "<u4").tobytes()
+        encode, end = encoder(tokenizer, cache).encode, np.array([end_id], "<u4").tobytes()
         sequence, rows, tail, used = TaskContext.get().partitionId() << 40, [], [], 0
 
         def out(rows):

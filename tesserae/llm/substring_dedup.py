@@ -29,7 +29,7 @@ from .fm_index import FMIndex
 WINDOW, GRAM = 13, 5
 HOT = 5_000
 SHARD_WORDS = 300_000
-POSTINGS = 1 << 21
+POSTINGS = 1 << 20
 BLOB_BYTES = 1 << 24
 
 

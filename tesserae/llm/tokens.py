@@ -52,6 +52,7 @@ class Encoder:
         self.split = Tokenizer.from_file(path)  # for words that are one pre-token each
         self.split.pre_tokenizer = WhitespaceSplit()
         self.cache: dict[str, bytes] = {}
+        self.limit = CACHE_PIECES
         self.tails: dict[str, bytes] = {}
 
     def whole(self, texts: list[str]) -> list[bytes]:
@@ -111,7 +112,7 @@ class Encoder:
                 gc.enable()
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.cache) > CACHE_PIECES:
+        if len(self.cache) > self.limit:
             self.cache.clear()
         cache, tails, firsts, cut, rows, new = self.cache, self.tails, [], [], [], set()
         for t in texts:
@@ -154,8 +155,9 @@ class Encoder:
 _encoders: dict[str, Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    """One encoder for each Python worker and vocabulary."""
+def encoder(path: str, limit: int = CACHE_PIECES) -> Encoder:
+    """One encoder for each Python worker and vocabulary; limit: pieces that its cache may hold."""
     if path not in _encoders:
         _encoders[path] = Encoder(path)
+    _encoders[path].limit = limit
     return _encoders[path]

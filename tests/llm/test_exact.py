@@ -344,6 +344,8 @@ def test_t_occurrence_search():
         for s in sets:
             want = [k for k, t in enumerate(sets) if den * len(np.intersect1d(s, t)) >= num * len(np.union1d(s, t))]
             assert sorted(lists.links(s, num, den).tolist()) == want
+            others = [k for k in want if not np.array_equal(sets[k], s)]
+            assert sorted(k for k in lists.links(s, num, den, True).tolist() if not np.array_equal(sets[k], s)) == others
     assert lists.links(np.zeros(0, np.uint64), 9, 10).tolist() == []
 
 
