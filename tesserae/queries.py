@@ -21,11 +21,14 @@ from .sources import decoders, paths
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
-RGB = tuple(map(F.col, "rgb"))
 BRAILLE = [(o, h, w) for o, _, h, w, _ in glyphs.braille_rows()]
 BRAILLE_COUNTS = [(o, n) for o, _, _, _, n in glyphs.braille_rows()]
 
 
+def rgb() -> tuple:
+    return tuple(map(F.col, "rgb"))
+
+
 def query(sql: str | None = None):
     def keep(f):
         QUERIES[f.__name__] = f
@@ -53,14 +56,14 @@ IDS = "image_id, x, y"
 
 @query(f"SELECT {IDS}, (a::BIGINT << 24) | (r << 16) | (g << 8) | b AS packed, r AS r2, g AS g2, b AS b2, a::BIGINT AS a2 FROM {EP} p")
 def pack_roundtrip(spark, d):
-    p = event_pixels(spark, d).withColumn("packed", C.pack(*RGB, F.col("a")))
+    p = event_pixels(spark, d).withColumn("packed", C.pack(*rgb(), F.col("a")))
     return p.select(*KEY, "packed", *(C.channel(F.col("packed"), s).alias(n) for s, n in ((16, "r2"), (8, "g2"), (0, "b2"), (24, "a2"))))
 
 
 @query(f"SELECT {IDS}, 3 * r + 4 * g + b AS v, r // 2 + g // 2 AS mean_rg, (r - g) * (r - g) + (g - b) * (g - b) + (b - r) * (b - r) AS diff, CASE WHEN a < 128 THEN 0 ELSE 255 END AS opaque FROM {EP} p")
 def intensity(spark, d):
     p = event_pixels(spark, d)
-    r, g, b = RGB
+    r, g, b = rgb()
     return p.select(*KEY, C.intensity(r, g, b).alias("v"), C.average(r, g).alias("mean_rg"), C.squared_error((r, g, b), (g, b, r)).alias("diff"), C.opaque(F.col("a"), 128).alias("opaque"))
 
 
@@ -68,7 +71,7 @@ def intensity(spark, d):
 FROM (SELECT *, sqrt(r * r * 0.299::DOUBLE + g * g * 0.587::DOUBLE + b * b * 0.144::DOUBLE) AS p FROM {EP} q) z""")
 def saturation_boost(spark, d):
     p = event_pixels(spark, d)
-    return p.select(*KEY, *(v.alias(c) for v, c in zip(C.saturated(*RGB), "rgb", strict=True)))
+    return p.select(*KEY, *(v.alias(c) for v, c in zip(C.saturated(*rgb()), "rgb", strict=True)))
 
 
 HIST = f"(SELECT image_id, 3 * r + 4 * g + b AS v, count(*) AS n FROM {EP} p WHERE a > 127 GROUP BY 1, 2)"
@@ -148,7 +151,7 @@ def linear_light(spark, d):
 
 @query()
 def din99d(spark, d):
-    return event_pixels(spark, d).select(*KEY, *(v.alias(n) for v, n in zip(C.din99d(*RGB), ("l", "u", "v"), strict=True)))
+    return event_pixels(spark, d).select(*KEY, *(v.alias(n) for v, n in zip(C.din99d(*rgb()), ("l", "u", "v"), strict=True)))
 
 
 _W, _H, _DW, _DH = "p_partkey % 640 + 1", "p_size * 7 % 480 + 1", "p_partkey % 79 + 1", "p_size % 23 + 1"
@@ -193,7 +196,7 @@ _LEVEL = "(CASE WHEN {c} <= 47 THEN 0 WHEN {c} <= 115 THEN 1 ELSE CAST(ceil(({c}
 
 @query(f"SELECT {IDS}, 16 + 36 * {_LEVEL.format(c='r')} + 6 * {_LEVEL.format(c='g')} + {_LEVEL.format(c='b')} AS pen FROM {EP} p")
 def cube216(spark, d):
-    return event_pixels(spark, d).select(*KEY, C.cube_index(*RGB).alias("pen"))
+    return event_pixels(spark, d).select(*KEY, C.cube_index(*rgb()).alias("pen"))
 
 
 def nearest_sql(palette) -> str:
@@ -213,7 +216,7 @@ def nearest_fixed256(spark, d):
 
 @query(nearest_sql([(232 + k, *(8 + 10 * k,) * 3) for k in range(24)]))
 def nearest_gray24(spark, d):
-    return event_pixels(spark, d).select(*KEY, nearest.nearest_gray(RGB).alias("pen"))
+    return event_pixels(spark, d).select(*KEY, nearest.nearest_gray(rgb()).alias("pen"))
 
 
 _TOP2 = f"""(SELECT {IDS}, pen, (r - pr) * (r - pr) + (g - pg) * (g - pg) + (b - pb) * (b - pb) AS err, row_number() OVER (PARTITION BY {IDS} ORDER BY (r - pr) * (r - pr) + (g - pg) * (g - pg) + (b - pb) * (b - pb), k) AS n FROM {EP} p, {palette_sql(palettes.palette16())})"""
@@ -221,7 +224,7 @@ _TOP2 = f"""(SELECT {IDS}, pen, (r - pr) * (r - pr) + (g - pg) * (g - pg) + (b -
 
 @query(f"SELECT {IDS}, max(CASE WHEN n = 1 THEN pen END) AS pen1, max(CASE WHEN n = 1 THEN err END) AS err1, max(CASE WHEN n = 2 THEN pen END) AS pen2, max(CASE WHEN n = 2 THEN err END) AS err2 FROM {_TOP2} z GROUP BY {IDS}")
 def nearest_top2(spark, d):
-    p = event_pixels(spark, d).withColumn("best", nearest.nearest_pens(RGB, palettes.palette16(), 2))
+    p = event_pixels(spark, d).withColumn("best", nearest.nearest_pens(rgb(), palettes.palette16(), 2))
     return p.select(*KEY, *(F.col("best")[k][f].alias(f"{f}{k + 1}") for k in range(2) for f in ("pen", "err")))
 
 
