@@ -58,12 +58,16 @@ def glyph_candidates(hi: Column, lo: Column, glyphs: list[tuple[int, int, int]],
     plain form wins a tie.
     """
     table = _literal([(o, h, w) for o, h, w in glyphs], ("k", "hi", "lo"))
-    dist = lambda g: hamming(hi, lo, g["hi"], g["lo"]).cast("long")
-    pack = lambda g: dist(g) * RANKS * 2 + g["k"]
-    if inverse:
-        pack = lambda g: F.least(dist(g) * RANKS * 2 + g["k"], (64 - dist(g)) * RANKS * 2 + RANKS + g["k"])
-    best = F.slice(F.array_sort(F.transform(table, pack)), 1, k)
-    return F.transform(best, lambda x: F.struct(C.div(x, RANKS * 2).alias("dist"), (x % RANKS).alias("ord"), (C.div(x, RANKS) % 2 == 1).alias("inverted")))
+
+    def found(cell: Column) -> Column:
+        dist = lambda g: hamming(cell["hi"], cell["lo"], g["hi"], g["lo"]).cast("long")
+        plain = lambda g: dist(g) * RANKS * 2 + g["k"]
+        turned = lambda g: F.least(plain(g), (64 - dist(g)) * RANKS * 2 + RANKS + g["k"])
+        best = F.slice(F.array_sort(F.transform(table, turned if inverse else plain)), 1, k)
+        return F.transform(best, lambda x: F.struct(C.div(x, RANKS * 2).alias("dist"), (x % RANKS).alias("ord"), (C.div(x, RANKS) % 2 == 1).alias("inverted")))
+
+    # Bound once as an element, so that a long expression for the bitmap isn't evaluated for every glyph.
+    return F.element_at(F.transform(F.array(F.struct(hi.alias("hi"), lo.alias("lo"))), found), 1)
 
 
 def wide_candidates(halves: tuple[Column, Column, Column, Column], glyphs: list[tuple[int, int, int, int, int]], k: int = 8) -> Column:
