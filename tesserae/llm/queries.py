@@ -81,4 +81,38 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_toxicity, op2_quality_rules, op3_language_id, op4_token_store, op5_substring_dedup, op6_exact_top_k, op7_ngram_join, op8_mixing, op9_secret_scan, op10_packing)}
 
-ORACLE_SQL: dict[str, str] = {}
+def _secret_sql() -> str:
+    from .secrets_scan import BASE, RULES
+
+    rows = ", ".join(f"({k}, '{r.kind}', '{r.pattern.replace(chr(39), chr(39) * 2)}', {r.least}, {r.group})" for k, r in enumerate(RULES))
+    span = "kind || ':' || st || ':' || (st + n)"
+    base = "kind IN (" + ", ".join(f"'{k}'" for k in BASE) + ")"
+    length = "lambda p: length(p)"
+    return f"""
+WITH r(kind_no, kind, re, least, grp) AS (VALUES {rows}),
+s AS (SELECT doc_id, kind_no, kind, re, least, regexp_extract_all(t, re) AS ms, string_split_regex(t, re) AS ps FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents), r),
+e AS (SELECT *, unnest(range(1, len(ms) + 1)) AS i FROM s),
+f AS (SELECT doc_id, kind_no, kind, (coalesce(list_sum(list_transform(ps[1:i], {length})), 0) + coalesce(list_sum(list_transform(ms[1:i - 1], {length})), 0))::BIGINT AS st, length(ms[i]) AS n
+  FROM e WHERE least = 0 OR length(regexp_extract(ms[i], re, 2)) >= least),
+g AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS a, count(*) FILTER (kind = 'access') AS c, count(*) FILTER (kind = 'hex') AS h,
+  string_agg({span}, ',' ORDER BY st, kind_no) FILTER ({base}) AS b, string_agg({span}, ',' ORDER BY st, kind_no) AS spans FROM f GROUP BY doc_id)
+SELECT doc_id, coalesce(a, 0) AS n_assign, coalesce(c, 0) AS n_access, coalesce(h, 0) AS n_hex, sha256(coalesce(b, '')) AS base_sha256, coalesce(spans, '') AS spans FROM documents LEFT JOIN g USING (doc_id)"""
+
+
+ORACLE_SQL: dict[str, str] = {
+    "op9_secret_scan": _secret_sql(),
+    "op5_substring_dedup": r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+x AS (SELECT doc_id, len(ws) AS n, unnest(range(1, len(ws) + 1)) AS k, unnest(ws) AS word FROM w),
+p AS (SELECT doc_id, k, md5(array_to_string(ws[k:k + 12], ' ')) AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS k FROM w)),
+m AS (SELECT g, min(doc_id) AS least FROM p GROUP BY g),
+gone AS (SELECT DISTINCT doc_id, k + j AS k FROM (SELECT p.doc_id, p.k FROM p JOIN m USING (g) WHERE least < doc_id), range(13) t(j)),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY k) AS kept, count(*) AS left_n FROM x ANTI JOIN gone USING (doc_id, k) GROUP BY doc_id)
+SELECT w.doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(left_n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id)""",
+    "op6_exact_top_k": """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * x::DOUBLE) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v q, v c WHERE q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id)
+SELECT query_id, rank::INT AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5""",
+}
