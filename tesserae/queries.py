@@ -100,7 +100,7 @@ def normalize(spark, d):
     return histogram.normalize(p, bounds).select(*KEY, *"rgb")
 
 
-@query("""SELECT n, x, y, CASE WHEN v < 0 THEN -CAST(floor(-v) AS BIGINT) ELSE CAST(floor(v) AS BIGINT) END AS value FROM (
+@query("""SELECT n::BIGINT AS n, x, y, CASE WHEN v < 0 THEN -CAST(floor(-v) AS BIGINT) ELSE CAST(floor(v) AS BIGINT) END AS value FROM (
 SELECT n, x, y, (rank - n * n / 2.0) * (256.0 / (n * n)) + 0.5 AS v FROM (
 SELECT n, x, y, sum(CASE WHEN n > h THEN ((CASE WHEN x // h % 2 = 1 AND y // h % 2 = 1 THEN 1 WHEN x // h % 2 = 1 THEN 2 WHEN y // h % 2 = 1 THEN 3 ELSE 0 END) * ((n // 2 // h) * (n // 2 // h))) ELSE 0 END) AS rank
 FROM (VALUES (2), (4), (8), (16)) s(n), range(16) a(x), range(16) b(y), (VALUES (1), (2), (4), (8)) t(h) WHERE x < n AND y < n GROUP BY n, x, y))""")
@@ -320,7 +320,7 @@ def best_symbol_fast(spark, d):
     return b.select(*CKEY, nearest.best_symbol(F.col("px"), F.col("bg"), F.col("fg"), F.col("hi"), F.col("lo"), BRAILLE, 8).alias("ord"))
 
 
-@query(f"SELECT vec_id, hi, lo, bit_count(hi) + bit_count(lo) AS popcount FROM {VC} v")
+@query(f"SELECT vec_id, hi, lo, (bit_count(hi) + bit_count(lo))::INT AS popcount FROM {VC} v")
 def cell_popcount(spark, d):
     v = vec_cells(spark, d)
     return v.select("vec_id", "hi", "lo", cells.popcount(F.col("hi"), F.col("lo")).alias("popcount"))
@@ -354,9 +354,6 @@ def glyph_dump(spark, d):
     return vec_cells(spark, d).select("vec_id", symbols.glyph_dump(cells.expanded(F.col("hi"), F.col("lo")), "X", ".").alias("dump"))
 
 
-_N = lambda dy, dx: f"(SELECT v FROM {VB} n WHERE n.vec_id = z.vec_id AND n.i = greatest(0, least(7, z.i // 8 + {dy})) * 8 + greatest(0, least(7, z.i % 8 + {dx})))"
-
-
 @query(f"""WITH q AS MATERIALIZED (SELECT * FROM {VB} z) SELECT vec_id, CAST(sum(s) AS BIGINT) AS total, CAST(sum(s * (i + 1)) AS BIGINT) AS weighted FROM (
 SELECT q.vec_id, q.i, greatest(0, least(255, CASE WHEN any_value(12 * q.v) - sum(n.v * n.w) < 0 THEN -((-(any_value(12 * q.v) - sum(n.v * n.w)))::BIGINT // 4) ELSE (any_value(12 * q.v) - sum(n.v * n.w))::BIGINT // 4 END)) AS s
 FROM q JOIN (SELECT a.vec_id, t.i, dy, dx, a.v, 1 AS w FROM range(64) t(i), range(-1, 2) d(dy), range(-1, 2) e(dx), q a WHERE (dy <> 0 OR dx <> 0) AND a.i = greatest(0, least(7, t.i // 8 + dy)) * 8 + greatest(0, least(7, t.i % 8 + dx))) n
@@ -379,7 +376,7 @@ def scale_nearest(spark, d):
 def scaled_sql(taps) -> str:
     t = f"(VALUES {values(taps)})"
     one = lambda src, axis, other: f"(SELECT image_id, {other}, o AS {axis}, {', '.join(f'CAST(sum({c} * w) AS BIGINT) // CAST(sum(w) AS BIGINT) AS {c}' for c in 'rgb')} FROM {src} q JOIN {t} t(s, o, w) ON t.s = q.{axis} GROUP BY image_id, {other}, o)"
-    return f"SELECT {IDS}, r, g, b FROM {one(one(FP, 'x', 'y'), 'y', 'x')} z"
+    return f"SELECT image_id, x::BIGINT AS x, y::BIGINT AS y, r, g, b FROM {one(one(FP, 'x', 'y'), 'y', 'x')} z"
 
 
 @query(scaled_sql(resample.box_taps(64, 4)))
@@ -500,7 +497,7 @@ def image_protocols(spark, d):
 # --- grids, order, results --------------------------------------------------------------------
 
 
-@query("SELECT n_nationkey // 4 AS grid_row, string_agg(rpad(n_name, 16, ' '), '' ORDER BY n_nationkey % 4) AS line FROM nation GROUP BY 1")
+@query("SELECT (n_nationkey // 4)::BIGINT AS grid_row, string_agg(rpad(n_name, 16, ' '), '' ORDER BY n_nationkey % 4) AS line FROM nation GROUP BY 1")
 def grid_layout(spark, d):
     n = table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("item_no"), F.lit(0).alias("row_no"), F.col("n_name").alias("line"))
     return grid.grid_lines(n, 4, 16).select(F.col("grid_row"), "line")
@@ -585,7 +582,7 @@ def has_symbol(spark, d):
 _RANGES = " + ".join(f"CASE WHEN c BETWEEN {a} AND {b} THEN {_T[t]} ELSE 0 END" for a, b, t in symbols.TAG_RANGES if t != "alpha") + f" + CASE WHEN c BETWEEN 65 AND 90 OR c BETWEEN 97 AND 122 THEN {_T['alpha']} ELSE 0 END"
 
 
-@query(f"SELECT c AS code_point, CASE WHEN (t & {_T['wide']}) = 0 THEN t | {_T['narrow']} ELSE t END AS tags FROM (SELECT p_partkey * 37 AS c, {_RANGES.replace('c BETWEEN', 'p_partkey * 37 BETWEEN')} AS t FROM part)")
+@query(f"SELECT c AS code_point, CASE WHEN (t & {_T['wide']}) = 0 THEN t | {_T['narrow']} ELSE t END::BIGINT AS tags FROM (SELECT p_partkey * 37 AS c, {_RANGES.replace('c BETWEEN', 'p_partkey * 37 BETWEEN')} AS t FROM part)")
 def tags_for_char(spark, d):
     p = table(spark, d, "part").select((F.col("p_partkey") * 37).alias("code_point"))
     return p.select("code_point", symbols.tags_of(F.col("code_point")).alias("tags"))
@@ -656,7 +653,7 @@ def option_parsing(spark, d):
     return o.select("i", T.fraction(s).alias("fraction"), T.hex_color(s).alias("color"), T.boolean(s).alias("flag"), T.tristate(s).alias("state"), w.alias("w"), h.alias("h"), T.version(s).alias("version"), T.leading_decimal(s).alias("lead"))
 
 
-@query(f"SELECT r_regionkey AS k, c AS rgb FROM region LEFT JOIN (VALUES {values(list(paths.COLORS.items()))}) t(n, c) ON n = CASE r_regionkey WHEN 0 THEN 'navy' WHEN 1 THEN 'gold' ELSE 'none' END")
+@query(f"SELECT r_regionkey AS k, c::BIGINT AS rgb FROM region LEFT JOIN (VALUES {values(list(paths.COLORS.items()))}) t(n, c) ON n = CASE r_regionkey WHEN 0 THEN 'navy' WHEN 1 THEN 'gold' ELSE 'none' END")
 def named_colors(spark, d):
     r = table(spark, d, "region").select(F.col("r_regionkey").alias("k"), F.expr("CASE r_regionkey WHEN 0 THEN 'NA vy' WHEN 1 THEN 'Gold' ELSE 'none' END").alias("n"))
     return paths.named_color(r, "n").select("k", "rgb")
