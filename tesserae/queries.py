@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .functions import color as C
 from .functions import geometry as G
 from .functions import text as T
-from .operators import batches, cells, dither, emit, grid, histogram, nearest, quantize, resample, symbols, terminal
+from .operators import batches, cells, dither, emit, grid, histogram, nearest, quantize, resample, symbols, terminal, wide
 from .plans import glyphs, palettes
 from .plans.views import EVENT_PIXELS_SQL as EP
 from .plans.views import FULL_PIXELS_SQL as FP
@@ -693,3 +693,25 @@ def imported_glyphs(spark, d):
 def clustered_glyphs(spark, d):
     v = table(spark, d, "embeddings").select(F.transform("embedding", lambda x: F.when(x > 0, 1).otherwise(0)).alias("v"))
     return batches.clustered_glyphs(v, 32, iterations=5)
+
+
+@query(f"""SELECT {CIDS}, arg_min(n, ((r - n * 255 // 64) * (r - n * 255 // 64) + (g - n * 255 // 64) * (g - n * 255 // 64) + (b - n * 255 // 64) * (b - n * 255 // 64)) * 4096 + n) AS fill
+FROM (SELECT {CIDS}, {', '.join(f'CAST(sum({c}) AS BIGINT) // 64 AS {c}' for c in 'rgb')} FROM {CELL} c GROUP BY {CIDS}) m, range(65) t(n) GROUP BY {CIDS}""")
+def fill_ramp(spark, d):
+    mean = cells.mean_color(F.col("px"))
+    b = blocks(spark, d).select(*CKEY, *(v.alias(c) for v, c in zip(mean, "rgb", strict=True)))
+    return b.select(*CKEY, wide.fill_step(rgb(), (F.lit(0),) * 3, (F.lit(255),) * 3).alias("fill"))
+
+
+@query()
+def wide_lookback(spark, d):
+    p = event_pixels(spark, d).select("image_id", F.col("y").alias("cy"), F.col("x").alias("cx"), F.col("r").alias("err"), F.col("g").alias("wide_left_err"), F.col("b").alias("wide_right_err"))
+    return wide.wide_lookback(wide.pair_errors(p))
+
+
+@query(f"SELECT image_id, y AS cy, x AS cx, CASE WHEN (x * 7 + y) % 9 = 0 THEN '#' ELSE 'a' END AS ch, 1 AS width FROM {EP} p")
+def cell_edits(spark, d):
+    p = event_pixels(spark, d).select("image_id", F.col("y").alias("cy"), F.col("x").alias("cx"))
+    base = p.select("image_id", "cx", "cy", F.lit("a").alias("ch"), F.lit(1).alias("width"))
+    edits = p.where("(cx * 7 + cy) % 9 = 0").select("image_id", "cx", "cy", F.lit("#").alias("ch"), F.lit(1).alias("width"))
+    return grid.edited(base, edits)

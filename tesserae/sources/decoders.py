@@ -286,3 +286,12 @@ def frame_pixels(frames: DataFrame) -> DataFrame:
     byte = lambda k: F.conv(F.hex(F.substring(F.col("data"), (i * 4 + 1 + k).cast("int"), F.lit(1))), 16, 10).cast("int")
     rows = frames.where("data is not null").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("width") * F.col("height") - 1)))
     return rows.select("path", "frame_no", (i % F.col("width")).alias("x"), F.call_function("div", i, F.col("width")).alias("y"), *(byte(k).alias(c) for k, c in enumerate("rgba")))
+
+
+def read_with_builtin(spark: SparkSession, path: str) -> DataFrame:
+    """JPEG and other formats that the JVM decodes: one still frame a file, as BGR or BGRA."""
+    images = spark.read.format("image").option("dropInvalid", "false").load(path).select("image.*")
+    good = F.col("nChannels").isin(3, 4) & (F.col("width") > 0)
+    kind = F.when(F.col("nChannels") == 4, "BGRA8_UNASSOCIATED").when(F.col("nChannels") == 3, "BGR8")
+    shown = lambda c: F.when(good, c)
+    return images.select(F.col("origin").alias("path"), shown(F.lit(0)).alias("frame_no"), shown(F.lit(0)).alias("delay_ms"), shown(F.col("width")).alias("width"), shown(F.col("height")).alias("height"), shown(kind).alias("pixel_type"), shown(F.col("data")).alias("data"), F.when(~good, "Unknown file format").alias("error"))

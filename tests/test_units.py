@@ -11,7 +11,7 @@ from tesserae.config import CanvasConfig
 from tesserae.functions import color as C
 from tesserae.functions import geometry as G
 from tesserae.functions import text as T
-from tesserae.operators import dither, emit, grid, quantize, resample, symbols
+from tesserae.operators import dither, emit, grid, quantize, resample, symbols, wide
 from tesserae.operators.terminal import Sequence, chained, emitted, matched_terminals
 from tesserae.plans import glyphs, palettes
 from tesserae.sources import decoders, paths
@@ -229,6 +229,10 @@ def test_decoders(spark, tmp_path):
     assert list(decoders.decode_qoi(qoi)) == [(0, 3, 1, b"\x01\x02\x03\x04" * 3)]
     head = [100, 7, 2, 24, 2, 1, 0, 1, 32, 1, 32, 32, 8, 4, 0xFF0000, 0xFF00, 0xFF, 8, 0, 0, 2, 1, 0, 0, 0]
     assert list(decoders.decode_xwd(struct.pack(">25I", *head) + b"\0\1\2\3\0\4\5\6")) == [(0, 2, 1, b"\1\2\3\xff\4\5\6\xff")]
+    (tmp_path / "j").mkdir()
+    (tmp_path / "j/x.png").write_bytes(png(image, (0,)))
+    frame = decoders.read_with_builtin(spark, str(tmp_path / "j")).first()
+    assert (frame.width, frame.height, frame.pixel_type) == (4, 5, "BGRA8_UNASSOCIATED") and bytes(frame.data) == image[:, :, [2, 1, 0, 3]].tobytes()
     for name, data in (("a.png", png(image, (2,))), ("b.qoi", qoi), ("c.txt", b"nothing"), ("d.png", b"\x89PNG\r\n\x1a\nbroken")):
         (tmp_path / name).write_bytes(data)
     frames = decoders.decode_frames(decoders.read_images(spark, str(tmp_path))).collect()
@@ -244,3 +248,20 @@ def test_entry_without_the_corpus_operators():
 
     code = "import sys; sys.modules['tesserae.llm'] = None; import __spark_entry__ as e; q = e.queries(); assert 'glyph_usage' in q and not any(k[:2] == 'op' and k[2].isdigit() for k in q); e.oracle_sql()"
     subprocess.run([sys.executable, "-c", code], check=True, timeout=120)
+
+
+def test_wide_lookback(spark):
+    r = np.random.default_rng(3)
+    rows = [(1, y, x, *(int(v) for v in r.integers(0, 100, 3))) for y in range(6) for x in range(20)]
+    df = spark.createDataFrame(rows, "image_id long, cy long, cx long, err long, wide_left_err long, wide_right_err long")
+    want = {}
+    for y in range(6):
+        row = [q for q in rows if q[1] == y]
+        kinds = []
+        for k, q in enumerate(row):
+            if k and kinds[-1] != "right" and row[k - 1][4] + q[5] < row[k - 1][3] + q[3]:
+                kinds[-1:] = ["left", "right"]
+            else:
+                kinds.append("narrow")
+        want |= {(y, x): k for x, k in enumerate(kinds)}
+    assert {(g.cy, g.cx): g.kind for g in wide.wide_lookback(wide.pair_errors(df)).collect()} == want
