@@ -60,7 +60,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the packed sequences."""
     import public_tokenizers
 
-    return pack_along_curve(docs, public_tokenizers.path("byte_bpe_50k.json"), cache=200_000)  # workers of other stages live on
+    return pack_along_curve(docs, public_tokenizers.path("byte_bpe_50k.json"), cache=200_000, keep=False)  # workers live on in other stages
 
 
 STAGES = [

@@ -11,7 +11,7 @@ import numpy as np
 
 _MASK = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15
-_BLOCK = 1 << 22
+_BLOCK = 1 << 20
 
 
 def _table(seed: int) -> np.ndarray:

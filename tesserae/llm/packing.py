@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import partitions, small_batches
-from .tokens import CACHE_PIECES, encoder
+from .tokens import CACHE_PIECES, encoder, release
 
 DIMS, BITS, BUCKETS = 3, 10, 256
 _SIGNS = np.random.default_rng(7).choice(np.array([-1.0, 1.0]), size=(BUCKETS, DIMS))
@@ -67,7 +67,7 @@ OUT = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, se
 _OUT = pa.schema([(c.split()[0], pa.int64()) for c in OUT.split(", ")])
 
 
-def pack_along_curve(docs: DataFrame, tokenizer: str, length: int = 1024, end_id: int = 0, parts: int | None = None, cache: int = CACHE_PIECES) -> DataFrame:
+def pack_along_curve(docs: DataFrame, tokenizer: str, length: int = 1024, end_id: int = 0, parts: int | None = None, cache: int = CACHE_PIECES, keep: bool = True) -> DataFrame:
     """Order documents by the Hilbert key of their hashed vectors and fill sequences in that order.
 
     docs needs doc_id and text; other columns are ignored.  A null text is empty and
@@ -75,6 +75,8 @@ def pack_along_curve(docs: DataFrame, tokenizer: str, length: int = 1024, end_id
     is full, so only the last ids of a task are left; those fill sequences of powers
     of two, largest first.  Documents on one key (exact copies) are spread over tasks
     by a hash of doc_id.  Repeated rows are packed each.  An empty table gives no rows.
+    cache bounds the words that a worker remembers; without keep it forgets them, and the
+    vocabulary, after each task.
     """
     small_batches(docs.sparkSession)
     parts = parts or partitions(docs.sparkSession)
@@ -108,6 +110,9 @@ def pack_along_curve(docs: DataFrame, tokenizer: str, length: int = 1024, end_id
                 rows = []
         if tail:
             yield out(_place(tail, sequence, [1 << b for b in range(used.bit_length() - 1, -1, -1) if used >> b & 1]))
+        if not keep:
+            del encode
+            release()
 
     shape = "doc_id long, text string, curve_key long"
     ordered = docs.select("doc_id", "text").mapInArrow(keyed, shape).withColumn("tie", F.xxhash64("doc_id"))

@@ -161,3 +161,14 @@ def encoder(path: str, limit: int = CACHE_PIECES) -> Encoder:
         _encoders[path] = Encoder(path)
     _encoders[path].limit = limit
     return _encoders[path]
+
+
+def release() -> None:
+    """Forget this worker's encoders and give their memory back."""
+    import ctypes
+
+    _encoders.clear()
+    gc.collect()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
