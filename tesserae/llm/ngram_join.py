@@ -222,7 +222,7 @@ def _star_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(key[other]), pa.array(first[other])], names=["a", "b"])
 
 
-def jaccard_components(docs: DataFrame, width: int = 5, num: int = 8, den: int = 10, block: int = BLOCK) -> DataFrame:
+def jaccard_components(docs: DataFrame, width: int = 5, num: int = 8, den: int = 10, block: int = BLOCK, apart: bool = True) -> DataFrame:
     """doc_id, n_shingles, component_id: components of documents whose sets are at num/den or more.
 
     docs needs doc_id and text; other columns are ignored.  With fewer words than width
@@ -235,7 +235,9 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 8, den: int =
     `block` sets.  A larger cluster is taken apart by the parts that its sets share; a
     part that more than `block` sets share is dealt over blocks, with its first set in
     every one, and sets outside that set's component are then searched in all of them,
-    so no link between different components is lost.
+    so no link between different components is lost.  Without `apart` a larger cluster is
+    dealt over blocks as a whole, which ships each text once; parts at 0.9 hold some eight
+    shingles, and clusters of unlike sets are few there.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -268,7 +270,10 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 8, den: int =
     rays = rays.union(rays.select("root", F.col("root").alias("m_key")).distinct())
     counts = rays.groupBy(F.col("root").alias("s_root")).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
     stars = rays.join(counts, F.col("root") == F.col("s_root")).select("root", "m_key", (F.col("m_key") == F.col("root")).alias("leader"), "blocks")
-    members = small.union(stars).join(reps, F.col("m_key") == F.col("key"))
+    if not apart:
+        blocks = F.ceil(F.col("size") / block).cast("int")
+        whole = placed_in.select("root", F.col("node").alias("m_key"), (F.col("node") == F.col("lead")).alias("leader"), blocks.alias("blocks"))
+    members = (small.union(stars) if apart else whole).join(reps, F.col("m_key") == F.col("key"))
     members = saved(members.select("root", "key", "rep", "blocks", "leader", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int").alias("own")), "join-members")
     texts = plain.withColumnRenamed("doc_id", "t_id")
     everywhere = F.sequence(F.lit(0), F.col("blocks") - 1)

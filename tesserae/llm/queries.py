@@ -57,7 +57,7 @@ def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .ngram_join import jaccard_components
 
-    return jaccard_components(table(spark, sf_dir, "documents"), width=3, num=9, den=10)
+    return jaccard_components(table(spark, sf_dir, "documents"), width=3, num=9, den=10, apart=False)
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
