@@ -23,7 +23,8 @@ ORDER = 6
 DISCOUNT = 0.75
 STRETCHES = (192, 24, 8)
 TELLING = (7.0, 12.0, 18.0)
-SLOTS = 2_097_143  # a prime; slots of the scoring table
+SHARD_ROWS = 1 << 21  # grams in a shard of the scoring tables
+GROUP_BYTES = 1 << 22  # of text scored at a time, so that shards are opened for more than a batch
 FEATURES = 1 + len(STRETCHES) + 2 * len(TELLING)
 CALIBRATION_ROWS = 20_000
 THRESHOLD = 0.3
@@ -122,34 +123,75 @@ def fit(grams: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows.select("key", llr.alias("llr"), (F.col("toxic_n") + F.col("plain_n")).alias("n")), contexts.select(F.col("h").alias("key"), (F.ln(rest("t", "tk")) - F.ln(rest("o", "ok"))).alias("llr"), (F.col("t") + F.col("o")).alias("n"))
 
 
-def slot_table(rows: DataFrame, slots: int = SLOTS) -> tuple[np.ndarray, np.ndarray]:
-    """Keys and values of a table of a fixed number of slots; of grams on one slot the most frequent stays."""
-    best = rows.groupBy(F.pmod("key", F.lit(slots)).alias("slot")).agg(F.max(F.struct("n", "key", "llr")).alias("x")).select("slot", "x.key", "x.llr").toArrow()
-    keys, values = np.full(slots, -1, np.int64), np.zeros(slots, np.float32)
-    at = best.column("slot").to_numpy()
-    keys[at], values[at] = best.column("key").to_numpy(), best.column("llr").to_numpy()
-    return keys, values
+def chained(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where each slot begins (two slots a key), and all keys and values in the order of their slots."""
+    slots = 2 * len(keys) + 1
+    slot = keys % slots
+    order = np.argsort(slot, kind="stable")
+    starts = np.concatenate(([0], np.cumsum(np.bincount(slot, minlength=slots))))
+    return starts.astype(np.int32), keys[order], values[order]
+
+
+def looked_up(table, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Value of each key, and whether the table has it; keys that share a slot are tried in turn."""
+    starts, held, values = table
+    slot = keys % (len(starts) - 1)
+    at, end = starts[slot], starts[slot + 1]
+    out, known = np.zeros(len(keys), np.float32), np.zeros(len(keys), bool)
+    left = np.flatnonzero(at < end)
+    while len(left):
+        same = held[at[left]] == keys[left]
+        hit = left[same]
+        out[hit], known[hit] = values[at[hit]], True
+        left = left[~same]
+        at[left] += 1
+        left = left[at[left] < end[left]]
+    return out, known
+
+
+def score_tables(grams: DataFrame, contexts: DataFrame, shard_rows: int = SHARD_ROWS) -> Iterator[tuple]:
+    """Shards of the tables of all grams and all contexts, one after another.
+
+    Their number follows the number of grams; a gram lies in the shard of its context.
+    """
+    grams = saved(grams.select("key", "llr"), "toxicity-model")
+    shards = grams.count() // shard_rows | 1  # odd, so that all bytes of a context tell its shard
+    parts = [(grams, F.shiftrightunsigned("key", 8)), (contexts.select("key", "llr"), F.col("key"))]
+    parts = [x.withColumn("shard", F.pmod(context, F.lit(shards))) for x, context in parts]
+    if shards > 1:
+        parts = [saved(x.sortWithinPartitions("shard"), "toxicity-shards") for x in parts]
+    for k in range(shards):
+        own = [x.where(F.col("shard") == k).select("key", "llr").toArrow() for x in parts]
+        yield tuple(chained(x.column("key").to_numpy(), x.column("llr").to_numpy().astype(np.float32)) for x in own)
+
+
+def opened(shard):
+    """The tables of a broadcast shard; the worker doesn't hold on to them."""
+    path = getattr(shard, "_path", None)
+    return shard.load_from_path(path) if path else shard.value
 
 
-def features(texts: list[str | None], tables) -> np.ndarray:
+def features(texts: list[str | None], tables, opened=lambda x: x) -> np.ndarray:
     """For each text the mean evidence of a byte, over the whole text and over its most
-    telling stretches, and how much of it lies in short stretches of strong evidence."""
-    (keys, values), (h_keys, h_values) = tables
+    telling stretches, and how much of it lies in short stretches of strong evidence.
+
+    tables: the shards; they are opened in turn."""
     out = np.zeros((len(texts), FEATURES))
     data, starts, ends = _joined(texts)
     grams = _grams(data)
     if not len(grams):
         return out
     evidence = np.empty(len(grams), np.float32)
-    for at in range(0, len(grams), 1 << 20):
-        g = grams[at : at + (1 << 20)]
-        slot = g % len(keys)
-        value, known = values[slot], keys[slot] == g
-        other = np.flatnonzero(~known)
-        h = g[other] >> 8
-        slot = h % len(h_keys)
-        value[other] = np.where(h_keys[slot] == h, h_values[slot], 0)
-        evidence[at : at + len(g)] = value
+    for shard, x in enumerate(tables):
+        seen, after = opened(x)
+        for at in range(0, len(grams), 1 << 20):
+            g = grams[at : at + (1 << 20)]
+            own = slice(None) if len(tables) == 1 else np.flatnonzero((g >> 8) % len(tables) == shard)
+            g = g[own]
+            value, known = looked_up(seen, g)
+            other = np.flatnonzero(~known)
+            value[other] = looked_up(after, g[other] >> 8)[0]
+            evidence[at : at + (1 << 20)][own] = value
     total = np.concatenate(([0.0], np.cumsum(evidence, dtype=np.float64)))
     for k, (a, b) in enumerate(zip(starts - _GAP, ends - _GAP, strict=True)):
         if b > a:
@@ -183,9 +225,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, counted: Column, calibrated: Co
     ignored).  Grams are counted over all labelled documents where `counted` holds; the
     curve is fitted on at most about calibration_rows labelled documents where
     `calibrated` holds, chosen by a hash.  Counting is a sum by gram, so no class or
-    source meets in one task; the scoring table has a fixed number of slots.  A score
-    reads text alone; null, empty and blank texts carry no evidence and get the curve's
-    value there.  Without rows of both classes every score is 0.  Repeated rows get
+    source meets in one task.  All grams and contexts are scored by: their tables are
+    broadcast in shards, as many as the grams ask for, and a worker holds one at a time.
+    A score reads text alone; null, empty and blank texts carry no evidence and get the
+    curve's value there.  Without rows of both classes every score is 0.  Repeated rows get
     equal scores; other columns are ignored; an empty table gives no rows.
     """
     spark = docs.sparkSession
@@ -196,14 +239,28 @@ def toxicity(docs: DataFrame, labels: DataFrame, counted: Column, calibrated: Co
     share = min(1.0, calibration_rows / max(n, 1))
     drawn = F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)))
     used = docs.select("doc_id", "text").where(counted | (calibrated & drawn))
-    rows = saved(used.join(known, F.col("doc_id") == F.col("l_id")).select("doc_id", "text", "toxic", counted.alias("counted")), "toxicity-rows")
+    rows = saved(used.join(known.hint("merge"), F.col("doc_id") == F.col("l_id")).select("doc_id", "text", "toxic", counted.alias("counted")), "toxicity-rows")
     grams, contexts = fit(count_grams(rows.where("counted")))
-    tables = slot_table(grams), slot_table(contexts)
-    model = spark.sparkContext.broadcast(tables)
+    model = [spark.sparkContext.broadcast(x) for x in score_tables(grams, contexts)]
+    use = opened if len(model) > 1 else lambda x: x.value
 
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def measured(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+        def flush():
+            f, at = features([t for x in held for t in x.column(column).to_pylist()], model, use), 0
+            for x in held:
+                yield x, f[at : at + len(x)]
+                at += len(x)
+            held.clear()
+
+        held: list[pa.RecordBatch] = []
         for batch in batches:
-            f = features(batch.column(0).to_pylist(), model.value)
+            held.append(batch)
+            if sum(x.nbytes for x in held) > GROUP_BYTES:
+                yield from flush()
+        yield from flush()
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, f in measured(batches, 0):
             yield pa.RecordBatch.from_arrays([batch.column(1), *map(pa.array, f.T.copy())], names=["toxic", *names])
 
     names = [f"f{k}" for k in range(FEATURES)]
@@ -213,8 +270,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, counted: Column, calibrated: Co
     curve = logistic(x, y) if len(y) and 0 < y.sum() < len(y) else None
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            f = features(batch.column(1).to_pylist(), model.value)
+        for batch, f in measured(batches, 1):
             s = np.zeros(len(f))
             if curve is not None:
                 mean, spread, w = curve

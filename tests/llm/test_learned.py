@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tesserae.llm.common import crc_mod
 from tesserae.llm.language import Classifier, dictionaries, identify
-from tesserae.llm.toxicity import toxicity
+from tesserae.llm.toxicity import _grams, _joined, count_grams, features, fit, score_tables, toxicity
 
 from .helpers import odd_rows, table
 
@@ -89,3 +89,21 @@ def test_toxicity_without_labels(spark):
     docs = table(spark, odd_rows())
     assert {r.score for r in toxicity(docs, marks, F.lit(True), F.lit(False)).collect()} == {0.0}
     assert toxicity(table(spark, []), marks, F.lit(True), F.lit(False)).collect() == []
+
+
+@pytest.mark.parametrize("shard_rows", [1 << 21, 40])
+def test_toxicity_scores_by_every_gram(spark, shard_rows):
+    number, slots = (lambda t: int.from_bytes(t.encode(), "big")), 2_097_143
+    step = slots * -(-number("aaaaaa") // slots) + number("grobni") % slots
+    twin = next(t for t in (k.to_bytes(6, "big") for k in range(step, number("zzzzzz"), slots)) if t.isalpha() and t.islower()).decode()
+    assert number(twin) % slots == number("grobni") % slots  # one slot in a table of that size
+    rows = [("grobnik vexlor grobnik", 1), *[(f"{made('aa', 20, k)} {twin}", 0) for k in range(30)]]
+    grams, contexts = fit(count_grams(spark.createDataFrame(rows, "text string, toxic int")))
+    seen, after = ({r.key: r.llr for r in x.collect()} for x in (grams, contexts))
+    tables = list(score_tables(grams, contexts, shard_rows))
+    assert (len(tables) > 1) == (len(seen) >= 2 * shard_rows)
+    texts = [rows[0][0], rows[1][0], f"{twin} grobnik", "grobnax", "0", "", None]
+    got = features(texts, tables)[:, 0]
+    for t, x in zip(texts, got, strict=True):
+        own = [seen.get(g, after.get(g >> 8, 0.0)) for g in _grams(_joined([t])[0]).tolist()]
+        assert x == pytest.approx(sum(own) / max(len(own), 1), abs=1e-4)
