@@ -154,6 +154,17 @@ def test_quality_rules(spark, clashes):
     assert quality_rules(table(spark, [])).collect() == []
 
 
+def test_quality_counts_unlike_documents_that_share_a_block(spark):
+    block = [f"clause {chr(97 + k)} of a licence that stands below very many texts" for k in range(20)]
+    own = lambda k: "\n".join(" ".join(words(150, seed, 10)) for seed in (2 * k, 2 * k + 1))
+    rows = [(k, own(k) + "\n" + "\n".join(block), "en", "h") for k in range(300)]
+    rows += [(1000 + k, own(999) + "\n" + "\n".join(f"copied {x}" for x in block), "en", "h") for k in range(80)]
+    got = {r.doc_id: r for r in quality_rules(table(spark, rows)).collect()}
+    assert {got[k].lines_removed for k in range(300)} == {20}
+    assert {got[k].words_removed for k in range(300)} == {sum(len(x.split()) for x in block)}
+    assert {got[1000 + k].lines_removed for k in range(80)} == {0}  # copies of one text count once
+
+
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 
 
