@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .common import saved
 
-ROUNDS = 10
+TOLERANCE = 1e-5  # largest relative change of a marginal in the last round
 SEED = 20240
 #: Exponents that flatten each marginal's shares towards equal ones.
 FLATTEN = {"source": 0.7, "lang": 0.7, "topic": 0.8}
@@ -33,13 +33,22 @@ def _named(docs: DataFrame) -> DataFrame:
     return docs.drop(*other, "probability", "selected", "u").withColumns(other)
 
 
-def raked(cells: DataFrame, flatten: dict[str, float] = FLATTEN, budget: float = BUDGET, rounds: int = ROUNDS) -> DataFrame:
+def _change(fitted: DataFrame, names) -> float:
+    """The largest relative change of a marginal of w against before."""
+    values = F.explode(F.array(*(F.struct(F.lit(n).alias("name"), F.col(f"c_{n}").alias("value")) for n in names)))
+    sums = fitted.select(values.alias("x"), "w", "before").groupBy("x").agg(F.sum("w").alias("w"), F.sum("before").alias("before"))
+    return sums.agg(F.max(F.abs(F.col("w") - F.col("before")) / F.greatest("before", F.lit(1e-12)))).first()[0] or 0.0
+
+
+def raked(cells: DataFrame, flatten: dict[str, float] = FLATTEN, budget: float = BUDGET, rounds: int | None = None) -> DataFrame:
     """Cell weights whose marginals meet the targets, none above the cell's own mass.
 
     cells: c_source, c_lang, c_topic, mass.  The target of a value is its share of mass
     to the power flatten, times budget of all tokens.  Each step scales one marginal to
-    its targets and caps at the mass; a round takes all three and is written, so the
-    plan stays short.  Values that can't reach their target within the cap stay below.
+    its targets and caps at the mass, and is written, so the plan stays short.  Rounds of
+    all three go on until none changes a marginal by more than TOLERANCE of it; with
+    rounds, no further than that many.  Values that can't reach their target within the
+    cap stay below.
     """
     total = cells.agg(F.sum("mass")).first()[0] or 0
     fitted = cells.withColumn("w", F.col("mass") * F.lit(float(budget)))
@@ -48,16 +57,21 @@ def raked(cells: DataFrame, flatten: dict[str, float] = FLATTEN, budget: float =
         t = cells.groupBy(f"c_{name}").agg(F.pow(F.sum("mass").cast("double"), F.lit(power)).alias("p"))
         scale = t.agg(F.sum("p")).first()[0] or 1.0
         targets[name] = saved(t.select(F.col(f"c_{name}").alias("t_key"), (F.col("p") * F.lit(budget * float(total) / scale)).alias("target")), "mix-target")
-    for _ in range(rounds):
+    done = 0
+    while rounds is None or done < rounds:
+        fitted = fitted.withColumn("before", F.col("w"))
         for name in flatten:
             sums = fitted.groupBy(F.col(f"c_{name}").alias("s_key")).agg(F.sum("w").alias("s"))
             factor = sums.join(targets[name], F.col("s_key") == F.col("t_key")).select("s_key", (F.col("target") / F.greatest("s", F.lit(1e-12))).alias("f"))
             fitted = fitted.join(factor, F.col(f"c_{name}") == F.col("s_key")).withColumn("w", F.least(F.col("w") * F.col("f"), F.col("mass").cast("double"))).drop("s_key", "f")
             fitted = saved(fitted, "mix-cells")
-    return fitted
+        done += 1
+        if _change(fitted, flatten) <= TOLERANCE:
+            break
+    return fitted.drop("before")
 
 
-def mixed(docs: DataFrame, flatten: dict[str, float] = FLATTEN, budget: float = BUDGET, rounds: int = ROUNDS, seed: int = SEED) -> DataFrame:
+def mixed(docs: DataFrame, flatten: dict[str, float] = FLATTEN, budget: float = BUDGET, rounds: int | None = None, seed: int = SEED) -> DataFrame:
     """docs with c_source, c_lang, c_topic, tokens, probability and selected.
 
     Token mass is added up for each (source, lang, topic); the cells are raked to the

@@ -432,6 +432,30 @@ def test_raking_meets_reachable_targets(spark):
             assert have == pytest.approx(0.5 * total * p / sum(power.values()), rel=1e-3)
 
 
+def brute_raking(cells, power, budget, rounds):
+    total, w = sum(c[3] for c in cells), [budget * c[3] for c in cells]
+    for _ in range(rounds):
+        for k in range(3):
+            mass, sums = Counter(), Counter()
+            for c, x in zip(cells, w, strict=True):
+                mass[c[k]] += c[3]
+                sums[c[k]] += x
+            scale = budget * total / sum(m**power for m in mass.values())
+            w = [min(x * scale * mass[c[k]] ** power / sums[c[k]], c[3]) for c, x in zip(cells, w, strict=True)]
+    return w
+
+
+def test_raking_goes_on_until_it_settles(spark):
+    r = random.Random(7)
+    cells = [(s, l, t, r.randint(1, 300) * (40 if s == "hot" and l == "en" else 1)) for s in ("hot", "b", "c", "d", "e") for l in ("en", "fr", "de") for t in "pqr"]
+    settled, early = (brute_raking(cells, 0.7, 0.6, n) for n in (300, 10))
+    of = lambda w: [sum(x for c, x in zip(cells, w, strict=True) if c[k] == v) for k in range(3) for v in sorted({c[k] for c in cells})]
+    assert max(abs(a / b - 1) for a, b in zip(of(early), of(settled), strict=True)) > 5e-3
+    df = spark.createDataFrame(cells, "c_source string, c_lang string, c_topic string, mass long")
+    found = {(x.c_source, x.c_lang, x.c_topic): x.w for x in raked(df, dict.fromkeys(("source", "lang", "topic"), 0.7), 0.6).collect()}
+    assert of([found[c[:3]] for c in cells]) == pytest.approx(of(settled), rel=1e-3)
+
+
 @pytest.mark.parametrize("clashes", [False, True])
 def test_mixing(spark, clashes):
     rows = odd_rows() + [(100 + k, f"some words about number {k}", "en", "a" if k % 3 else "b") for k in range(300)]
