@@ -1,15 +1,19 @@
 """Self-join of documents on the Jaccard similarity of their word shingles.
 
 Candidates: a pair at similarity t differs in few shingles, so of one part more than
-that, dealt by hash, some part is the same in both; parts that agree link their sets
-into clusters.  Within a cluster, in blocks, a T-occurrence search finds the exact
-links: short inverted lists are merged by a heap, long ones probed by binary search
-(DivideSkip), and sets that reach the required overlap are kept.
+that, dealt by hash, some part is the same in both.  Sets that share a part meet at the
+part's first set.  A part that more than HOT sets share is left out: a set whose other
+parts still outnumber what it can differ in meets all its partners without it.  Only
+sets for which that fails (most of their parts are common ones) meet by common parts
+too, in blocks.  Where sets meet, a T-occurrence search finds the exact links: short
+inverted lists are merged by a heap, long ones probed by binary search (DivideSkip), and
+sets that reach the required overlap are kept.
 """
 
 from __future__ import annotations
 
 import heapq
+import itertools
 from bisect import bisect_right
 from collections.abc import Callable, Iterator
 from itertools import groupby
@@ -23,7 +27,10 @@ from . import hashing as H
 from .common import partitions, saved, small_batches
 from .components import components
 
+HOT = 60  # sets that may share a part before it is left out
 BLOCK = 200
+SALTS = 16
+FEW = 50_000  # rows of ids that may be broadcast
 GROWTH = 1.5
 POSTINGS = 1 << 20
 
@@ -59,25 +66,50 @@ def set_key(s: np.ndarray) -> int:
     return int(H.mix(np.array([H.mix(s).sum(dtype=np.uint64) + np.uint64(len(s))]))[0].astype(np.int64))
 
 
-def signatures(s: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Signatures such that any two sets at similarity num/den or more share one."""
-    n = len(s)
+def spares(s: np.ndarray, num: int, den: int) -> list[tuple[int, int, np.ndarray]]:
+    """For each size level that the set signs: its parity, how many of its parts may be left
+    out with every partner still met, and the signatures of its parts.
+
+    A pair at num/den or more signs the level of its larger set with equally many parts.
+    They differ in at most (own) shingles, each of which spoils one part.
+    """
+    n, out = len(s), []
     level = bisect_right(_BOUNDS, n) - 1
-    levels = [level] + [level + 1] * (n * den // num >= _BOUNDS[level + 1])
-    own = (n + n * den // num) * (den - num) // (den + num)
-    out, spread = [], H.mix(s)
-    enough = True
-    for j in levels:
-        differ = 2 * (_BOUNDS[j + 1] - 1) * (den - num) // (den + num)
+    spread = H.mix(s)
+    for j in range(level, bisect_right(_BOUNDS, n * den // num)):
+        top = _BOUNDS[j + 1] - 1
+        differ = 2 * top * (den - num) // (den + num)
         parts = 1 if not differ else differ + 2 + differ // 20
         part = ((s >> np.uint64(20)) % np.uint64(parts)).astype(np.int64)
         sums = np.zeros(parts, np.uint64)
         np.add.at(sums, part, spread)
         used = np.flatnonzero(np.bincount(part, minlength=parts))
-        enough &= len(used) > own
-        out.append(H.combine(sums[used], (used + (j << 40)).astype(np.uint64)))
-    if not enough:  # too few parts hold a shingle: the first shingles by hash decide
-        out.append(H.mix(s[: n - -(-num * n // den) + 1] + np.uint64(0x51)))
+        own = (n + min(n * den // num, top)) * (den - num) // (den + num)
+        out.append((j & 1, len(used) - own - 1, H.combine(sums[used], (used + (j << 40)).astype(np.uint64))))
+    return out
+
+
+def least_spares(s: np.ndarray, num: int, den: int) -> dict[int, int]:
+    """The smallest number of parts that may be left out at the levels of each parity."""
+    out: dict[int, int] = {}
+    for parity, spare, _ in spares(s, num, den):
+        out[parity] = min(spare, out.get(parity, spare))
+    return out
+
+
+def signatures(s: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Signatures such that any two sets at similarity num/den or more share one.
+
+    The lowest bit is the level's parity; the next one is clear.  A set with too few parts
+    at a level also signs by its first shingles, and by the parity alone (0 or 1), which
+    marks it.
+    """
+    out = []
+    for parity, spare, x in spares(s, num, den):
+        out.append(x & ~np.uint64(3) | np.uint64(parity))
+        if spare < 0:
+            first = H.mix(s[: len(s) - -(-num * len(s) // den) + 1] + np.uint64(0x51))
+            out += [first & ~np.uint64(3) | np.uint64(parity), np.array([parity], np.uint64)]
     return np.concatenate(out)
 
 
@@ -131,7 +163,7 @@ class Lists:
 
 
 def link_block(keys: list[int], sets: list[np.ndarray], leaders: list[bool], num: int, den: int) -> list[tuple[int, int]]:
-    """(key, root key) of each set's component within the block, found by as few searches as show it.
+    """(key, root key) of every set that is linked within the block, found by as few searches as show it.
 
     The leader is searched first; then every set outside its component.  A pair within
     one component needs no search, and any other pair has a side that is searched.
@@ -153,7 +185,7 @@ def link_block(keys: list[int], sets: list[np.ndarray], leaders: list[bool], num
                 a, b = find(k), find(y)
                 if a != b:
                     parent[max(a, b)] = min(a, b)
-    return [(keys[k], keys[find(k)]) for k in range(len(keys))]
+    return [(keys[k], keys[find(k)]) for k in range(len(keys)) if find(k) != k]
 
 
 def _groups(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[tuple[tuple, list[tuple]]]:
@@ -175,8 +207,12 @@ def _out(rows: list[tuple], names: tuple[str, ...]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=list(names))
 
 
-def _postings(width: int, num: int, den: int) -> Callable:
-    """Rows (x, y): a signature and a set that has it, once for the copies that a task reads."""
+def _postings(width: int, num: int, den: int, hot: int) -> Callable:
+    """Rows (x, y): a signature and a set that has it, once for the copies that a task reads.
+
+    Of a signature that more than `hot` of a task's sets have, the further rows are marked
+    by its second bit: they needn't meet the others to be known as common.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -188,6 +224,9 @@ def _postings(width: int, num: int, den: int) -> Callable:
             sig, key = sig[order], key[order]
             new = np.append(True, (sig[1:] != sig[:-1]) | (key[1:] != key[:-1]))
             sig, key = sig[new], key[new]
+            place = np.arange(len(sig))
+            head = np.maximum.accumulate(np.where(np.append(True, sig[1:] != sig[:-1]), place, 0))
+            sig = np.where(place - head > hot, sig | 2, sig)
             for at in range(0, len(sig), 50_000):
                 yield pa.RecordBatch.from_arrays([pa.array(sig[at : at + 50_000]), pa.array(key[at : at + 50_000])], names=["x", "y"])
 
@@ -206,38 +245,77 @@ def _postings(width: int, num: int, den: int) -> Callable:
     return run
 
 
-def _star_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Edges from each further set of a signature to its first, over rows sorted by both; rows
-    pass by, so a signature of very many sets takes time but no memory."""
-    last_sig = last_key = None
-    for batch in batches:
-        sig, key = (c.to_numpy() for c in batch.columns)
-        if not len(sig):
-            continue
-        head = np.append(sig[0] != last_sig, sig[1:] != sig[:-1])
-        place = np.maximum.accumulate(np.where(head, np.arange(len(sig)), -1))
-        first = np.where(place >= 0, key[np.maximum(place, 0)], last_key if last_key is not None else 0)
-        other = ~head & (first != key)
-        last_sig, last_key = sig[-1], first[-1]
-        yield pa.RecordBatch.from_arrays([pa.array(key[other]), pa.array(first[other])], names=["a", "b"])
-
-
-def jaccard_components(docs: DataFrame, width: int = 5, num: int = 8, den: int = 10, block: int = BLOCK, apart: bool = True) -> DataFrame:
+MEETINGS = "common boolean, x long, a long, b long"
+_MEETINGS = pa.schema([("common", pa.bool_()), ("x", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
+
+
+def _meetings(hot: int) -> Callable:
+    """Over postings sorted by both columns: for a signature of at most `hot` sets, rows (false,
+    name of its sets, further set, first set); for any other, rows (true, signature, set, set).
+
+    A common signature's rows pass by, so it takes time but no memory.
+    """
+
+    def rows(common: bool, x: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), common)), pa.array(x), pa.array(a), pa.array(b)], schema=_MEETINGS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none = np.zeros(0, np.int64)
+        left_x, left_y, passing = none, none, None
+        for batch in itertools.chain(batches, [None]):
+            x, y = (none, none) if batch is None else (c.to_numpy() for c in batch.columns)
+            known = (x & 2) != 0
+            if known.any():
+                yield rows(True, x[known] & ~2, y[known], y[known])
+                x, y = x[~known], y[~known]
+            x, y = np.concatenate([left_x, x]), np.concatenate([left_y, y])
+            new = np.append(True, (x[1:] != x[:-1]) | (y[1:] != y[:-1]))[: len(x)]
+            x, y = x[new], y[new]
+            if passing is not None and len(x):
+                more = x == passing
+                if more.any():
+                    yield rows(True, x[more], y[more], y[more])
+                    x, y = x[~more], y[~more]
+                if len(x):
+                    passing = None
+            last = len(x) if batch is None or not len(x) else int(np.searchsorted(x, x[-1]))
+            if len(x) - last > hot:
+                last, passing = len(x), x[-1]
+            left_x, left_y, x, y = x[last:], y[last:], x[:last], y[:last]
+            if not len(x):
+                continue
+            at = np.flatnonzero(np.append(True, x[1:] != x[:-1]))
+            n = np.diff(np.append(at, len(x)))
+            wide = np.repeat((n > hot) | (x[at] >> 1 == 0), n)
+            if passing is not None:
+                wide |= x == passing
+            if wide.any():
+                yield rows(True, x[wide], y[wide], y[wide])
+            named = H.mix(np.add.reduceat(H.mix(y.view(np.uint64)), at) + n.astype(np.uint64)).view(np.int64)
+            first = np.repeat(y[at], n)
+            other = ~wide & (first != y)
+            if other.any():
+                yield rows(False, np.repeat(named, n)[other], y[other], first[other])
+
+    return run
+
+
+def jaccard_components(docs: DataFrame, width: int = 5, num: int = 8, den: int = 10, block: int = BLOCK, hot: int = HOT) -> DataFrame:
     """doc_id, n_shingles, component_id: components of documents whose sets are at num/den or more.
 
     docs needs doc_id and text; other columns are ignored.  With fewer words than width
     the whole sequence is one shingle; null and blank texts have none and stand alone.
     component_id is the smallest doc_id reachable by links, the document's own
     included.  Rows without a doc_id aren't compared and get a null component_id; rows
-    repeated or of equal sets are one set.  An empty table gives no rows.
-
-    Sets are named by 64-bit hashes; texts go only to their cluster's task, of at most
-    `block` sets.  A larger cluster is taken apart by the parts that its sets share; a
-    part that more than `block` sets share is dealt over blocks, with its first set in
-    every one, and sets outside that set's component are then searched in all of them,
-    so no link between different components is lost.  Without `apart` a larger cluster is
-    dealt over blocks as a whole, which ships each text once; parts at 0.9 hold some eight
-    shingles, and clusters of unlike sets are few there.
+    repeated or of equal sets are one set.  A text may be as long as a row can be: its set
+    is made of all its words.  A pair at exactly num/den is linked.  An empty table gives
+    no rows.
+
+    Sets are named by 64-bit hashes.  A text goes to the first sets that it shares a part
+    with, at most `hot` sets a part; a first set with more than `block` others meets those
+    of each part by themselves.  Sets that meet by common parts are dealt over blocks,
+    with the first set in every one, and those outside its component are then searched in
+    all of them, so no link between different components is lost.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -247,74 +325,86 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 8, den: int =
         for batch in batches:
             sets = shingle_sets(batch.column(1).to_pylist(), width)
             keys = [set_key(s) if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.int64()), pa.array([len(s) for s in sets], pa.int64())], names=["doc_id", "key", "n_shingles"])
+            spare = [least_spares(s, num, den) if len(s) else {} for s in sets]
+            columns = [pa.array(keys, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), *(pa.array([x.get(p) for x in spare], pa.int64()) for p in (0, 1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "key", "n_shingles", "even", "odd"])
 
     plain = docs.select("doc_id", "text")
-    all_docs = saved(plain.mapInArrow(named, "doc_id long, key long, n_shingles long"), "join-docs")
-    reps = saved(all_docs.where("doc_id is not null and key is not null").groupBy("key").agg(F.min("doc_id").alias("rep")), "join-reps")
-
-    postings = plain.where("doc_id is not null").select("text").mapInArrow(_postings(width, num, den), "x long, y long")
-    dealt = postings.repartition(parts, "x").sortWithinPartitions("x", "y")
-    edges = saved(dealt.mapInArrow(_star_edges, "a long, b long").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")), "join-edges")
-    clusters = saved(components(edges), "join-clusters")
-
-    typical = edges.select(F.col("a").alias("k"), "n").union(edges.select("b", "n")).groupBy("k").agg(F.sum("n").alias("typical"))
-    sizes = clusters.join(typical, F.col("node") == F.col("k")).groupBy("root").agg(F.count(F.lit(1)).alias("size"), F.max(F.struct("typical", "node")).alias("lead"))
-    sizes = saved(sizes.select(F.col("root").alias("c_root"), "size", F.col("lead.node").alias("lead")), "join-sizes")
-    placed_in = clusters.join(sizes, F.col("root") == F.col("c_root"))
-    small = placed_in.where(F.col("size") <= block).select("root", F.col("node").alias("m_key"), (F.col("node") == F.col("lead")).alias("leader"), F.lit(1).alias("blocks"))
-    # A larger cluster may hang together by parts that few sets share: its sets meet by the
-    # first set of each part instead, and a pair that is linked meets at least once.
-    loose = placed_in.where(F.col("size") > block).select("node")
-    rays = edges.join(loose, F.col("b") == F.col("node"), "left_semi").select(F.col("b").alias("root"), F.col("a").alias("m_key"))
-    rays = rays.union(rays.select("root", F.col("root").alias("m_key")).distinct())
-    counts = rays.groupBy(F.col("root").alias("s_root")).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
-    stars = rays.join(counts, F.col("root") == F.col("s_root")).select("root", "m_key", (F.col("m_key") == F.col("root")).alias("leader"), "blocks")
-    if not apart:
-        blocks = F.ceil(F.col("size") / block).cast("int")
-        whole = placed_in.select("root", F.col("node").alias("m_key"), (F.col("node") == F.col("lead")).alias("leader"), blocks.alias("blocks"))
-    members = (small.union(stars) if apart else whole).join(reps, F.col("m_key") == F.col("key"))
-    members = saved(members.select("root", "key", "rep", "blocks", "leader", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int").alias("own")), "join-members")
+    all_docs = saved(plain.mapInArrow(named, "doc_id long, key long, n_shingles long, even long, odd long"), "join-docs")
+    reps = all_docs.where("doc_id is not null and key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.min("even").alias("even"), F.min("odd").alias("odd"))
+    reps = saved(reps, "join-reps")
+
+    postings = plain.where("doc_id is not null").select("text").mapInArrow(_postings(width, num, den, hot), "x long, y long")
+    spread = F.when(F.col("x").bitwiseAND(F.lit(2)) == 0, F.col("x")).otherwise(F.col("y"))
+    dealt = postings.repartition(parts, spread).sortWithinPartitions("x", "y")
+    met = saved(dealt.mapInArrow(_meetings(hot), MEETINGS), "join-meetings")
+
+    # Parts that few sets share: a first set and its others, or one part's where they are many.
+    pairs = met.where("not common").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).groupBy(F.col("b").alias("w")).agg(F.count(F.lit(1)).alias("others"))
+    stars = met.where("not common").join(pairs.where(F.col("others") >= block), F.col("b") == F.col("w"), "left")
+    stars = stars.select(F.col("b").alias("root"), F.when(F.col("w").isNotNull(), F.col("x")).otherwise(0).alias("sub"), F.col("a").alias("m_key")).distinct()
+    stars = saved(stars, "join-stars")
+    units = stars.union(stars.select("root", "sub", F.col("root").alias("m_key")).distinct()).withColumn("blocks", F.lit(1))
+
+    # Sets that their other parts don't suffice for meet by the common parts.
+    common = saved(met.where("common").select("x", F.col("a").alias("y")).distinct(), "join-common")
+    counted = common.groupBy("y", F.col("x").bitwiseAND(F.lit(1)).alias("parity")).agg(F.count(F.lit(1)).alias("n"))
+    short = counted.join(reps, F.col("y") == F.col("key")).where(F.col("n") > F.when(F.col("parity") == 0, F.col("even")).otherwise(F.col("odd")))
+    short = short.select(F.col("y").alias("s_key")).distinct()
+    loose = saved(common.where(F.shiftright("x", 1) != 0).join(short, F.col("y") == F.col("s_key"), "left_semi"), "join-loose")
+    firsts = loose.groupBy(F.col("x").alias("f_x")).agg(F.min("y").alias("first")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rays = loose.join(firsts, (F.col("x") == F.col("f_x")) & (F.pmod(F.xxhash64("y"), F.lit(SALTS)) == F.col("salt"))).where("y <> first").select("first", "y").distinct()
+    rays = saved(rays, "join-rays")
+    sizes = rays.groupBy(F.col("first").alias("s_first")).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    rays = rays.join(sizes, F.col("first") == F.col("s_first")).select("first", F.lit(1).cast("long").alias("sub"), "y", "blocks")
+    leads = sizes.select("s_first", F.lit(1).cast("long").alias("sub"), F.col("s_first").alias("y"), "blocks")
+
+    members = units.union(rays).union(leads).join(reps, F.col("m_key") == F.col("key"))
+    members = members.select("root", "sub", "key", "rep", "blocks", (F.col("key") == F.col("root")).alias("leader"), F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int").alias("own"))
+    members = saved(members, "join-members")
     texts = plain.withColumnRenamed("doc_id", "t_id")
     everywhere = F.sequence(F.lit(0), F.col("blocks") - 1)
 
     def first_round(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, rows in _groups(batches, 2):
+        for _, rows in _groups(batches, 3):
             found = _checked(rows, width)
-            yield _out(link_block([k for k, *_ in found], [s for _, _, s in found], [e for _, e, _ in found], num, den), ("a", "b"))
+            if len(found) > 1:
+                yield _out(link_block([k for k, *_ in found], [s for _, _, s in found], [e for _, e, _ in found], num, den), ("a", "b"))
 
     placed = members.hint("merge").join(texts, F.col("rep") == F.col("t_id")).withColumn("block", F.explode(F.when(F.col("leader"), everywhere).otherwise(F.array("own"))))
-    placed = placed.select("root", "block", "key", "leader", "text").repartition(parts, "root", "block").sortWithinPartitions("root", "block", "key")
+    placed = placed.select("root", "sub", "block", "key", "leader", "text").repartition(parts, "root", "sub", "block").sortWithinPartitions("root", "sub", "block", "key")
     links = saved(placed.mapInArrow(first_round, "a long, b long").distinct(), "join-links")
+    joined = components(links)
 
-    wide = members.where("blocks > 1")
+    wide = members.where("blocks > 1").select("root", "key", "rep", "blocks", "leader", "own")
     if wide.limit(1).count():
-        local = saved(components(links.join(wide.select("key").distinct(), F.col("a") == F.col("key"), "left_semi")), "join-local")
-        local = local.select(F.col("node").alias("l_node"), F.col("root").alias("l_root"))
+        local = joined.select(F.col("node").alias("l_node"), F.col("root").alias("l_root"))
         held = wide.join(local, F.col("key") == F.col("l_node"), "left").withColumn("part", F.coalesce("l_root", "key")).drop("l_node", "l_root")
+        held = saved(held, "join-held")
         main = held.where("leader").select(F.col("root").alias("m_root"), F.col("part").alias("m_part"))
-        held = saved(held.join(main, F.col("root") == F.col("m_root")).withColumn("apart", F.col("part") != F.col("m_part")).drop("m_root", "m_part"), "join-held")
-        if held.where("apart").limit(1).count():
-
-            def second_round(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-                for _, rows in _groups(batches, 2):
-                    found = _checked(rows, width)
-                    index = [(k, p, s) for k, (p, q), s in found if not q]
-                    lists, out = Lists([s for _, _, s in index]), []
-                    for k, (part, query), s in found:
-                        if query:
-                            near = {index[y][1]: index[y][0] for y in lists.links(s, num, den).tolist() if index[y][1] != part}
-                            out += [(k, y) for y in near.values()]
-                    yield _out(out, ("a", "b"))
-
-            own = held.select("root", F.col("own").alias("block"), "key", "rep", "part", F.lit(False).alias("query"))
-            asked = held.where("apart").withColumn("block", F.explode(everywhere)).where("block <> own")
-            asked = asked.select("root", "block", "key", "rep", "part", F.lit(True).alias("query"))
-            rows = own.union(asked).hint("merge").join(texts, F.col("rep") == F.col("t_id")).select("root", "block", "key", F.struct("part", "query").alias("mark"), "text")
-            rows = rows.repartition(parts, "root", "block").sortWithinPartitions("root", "block", "key")
-            links = links.union(saved(rows.mapInArrow(second_round, "a long, b long"), "join-links"))
+        held = held.join(main, F.col("root") == F.col("m_root")).withColumn("apart", F.col("part") != F.col("m_part")).drop("m_root", "m_part")
+
+        def second_round(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for _, rows in _groups(batches, 2):
+                found = _checked(rows, width)
+                index = [(k, p, s) for k, (p, q), s in found if not q]
+                lists, out = Lists([s for _, _, s in index]), []
+                for k, (part, query), s in found:
+                    if query:
+                        near = {index[y][1]: index[y][0] for y in lists.links(s, num, den).tolist() if index[y][1] != part}
+                        out += [(k, y) for y in near.values()]
+                yield _out(out, ("a", "b"))
+
+        own = held.select("root", F.col("own").alias("block"), "key", "rep", "part", F.lit(False).alias("query"))
+        asked = held.where("apart").withColumn("block", F.explode(everywhere)).where("block <> own")
+        asked = asked.select("root", "block", "key", "rep", "part", F.lit(True).alias("query"))
+        rows = saved(own.union(asked), "join-asked")
+        few = "broadcast" if rows.count() <= FEW else "merge"
+        rows = rows.hint(few).join(texts, F.col("rep") == F.col("t_id")).select("root", "block", "key", F.struct("part", "query").alias("mark"), "text")
+        rows = rows.repartition(parts, "root", "block").sortWithinPartitions("root", "block", "key")
+        further = saved(rows.mapInArrow(second_round, "a long, b long").distinct(), "join-links")
+        joined = components(joined.select(F.col("node").alias("a"), F.col("root").alias("b")).union(further))
 
-    joined = components(links)
     least = joined.join(reps, F.col("node") == F.col("key")).groupBy("root").agg(F.min("rep").alias("least")).withColumnRenamed("root", "l_root")
     merged = joined.join(least, F.col("root") == F.col("l_root")).select(F.col("node").alias("m_key"), "least")
     final = saved(reps.join(merged, F.col("key") == F.col("m_key"), "left").select(F.col("key").alias("f_key"), F.coalesce("least", "rep").alias("component")), "join-final")

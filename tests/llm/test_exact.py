@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -14,7 +15,7 @@ from tesserae.llm import hashing as H
 from tesserae.llm.components import components
 from tesserae.llm.fm_index import FMIndex
 from tesserae.llm.mixing import mixed, raked
-from tesserae.llm.ngram_join import Lists, jaccard_components, signatures
+from tesserae.llm.ngram_join import Lists, _meetings, jaccard_components, signatures
 from tesserae.llm.packing import hilbert_index, pack_along_curve
 from tesserae.llm.quality import quality_rules, repeated_words, text_counts
 from tesserae.llm.secrets_scan import digest, findings, redacted, scan, spans_text
@@ -315,13 +316,45 @@ def near_rows():
     return rows
 
 
-@pytest.mark.parametrize("width,num,den,block", [(3, 9, 10, 200), (5, 8, 10, 200), (3, 9, 10, 4), (5, 8, 10, 3)])
-def test_jaccard_components(spark, width, num, den, block):
+@pytest.mark.parametrize("width,num,den,block,hot", [(3, 9, 10, 200, 60), (5, 8, 10, 200, 60), (3, 9, 10, 4, 60), (5, 8, 10, 3, 60), (3, 9, 10, 4, 2), (5, 8, 10, 3, 2), (5, 8, 10, 200, 1)])
+def test_jaccard_components(spark, width, num, den, block, hot):
     rows = near_rows()
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_components(table(spark, rows), width, num, den, block).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_components(table(spark, rows), width, num, den, block, hot).collect()}
     assert got == brute_components(rows, width, num, den)
 
 
+def common_line_rows(n=1500, copies=40):
+    """Unlike sets that share one line, most of it in the short ones; a chain of near copies; a large group."""
+    line = " ".join(f"common{k}" for k in range(14))
+    rows = [(k, " ".join(words(6 + k % 60, k, 10)) + " " + line, "en", "a") for k in range(n)]
+    base = [f"w{k}" for k in range(70)]
+    rows += [(n + k, " ".join(base[k:] + [f"v{j}" for j in range(k)]) + " " + line, "en", "a") for k in range(copies)]
+    rows += [(n + copies + k, edited([f"u{j}" for j in range(60)], k % 6, k) + " " + line, "en", "a") for k in range(3 * copies)]
+    return rows
+
+
+@pytest.mark.parametrize("block,hot", [(200, 60), (20, 5)])
+def test_jaccard_with_a_line_that_very_many_unlike_sets_hold(spark, block, hot):
+    rows = common_line_rows()
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_components(table(spark, rows), 5, 8, 10, block, hot).collect()}
+    assert got == brute_components(rows, 5, 8, 10)
+
+
+def test_meetings_over_batches():
+    """Signatures that cross batches, common ones, and marked rows."""
+    rows = sorted((x * 4, y) for x, n in ((1, 1), (2, 3), (3, 9), (4, 2), (5, 30), (6, 4)) for y in range(n))
+    rows += [(0, 7), (5 * 4 | 2, 99)]
+    rows.sort()
+    want_common = {(20, y) for y in [*range(30), 99]} | {(12, y) for y in range(9)} | {(0, 7)}
+    want_pairs = {(a, 0) for a in range(1, 4)}
+    for size in (1, 2, 7, 100):
+        batches = [pa.RecordBatch.from_arrays([pa.array([x for x, _ in rows[k : k + size]], pa.int64()), pa.array([y for _, y in rows[k : k + size]], pa.int64())], names=["x", "y"]) for k in range(0, len(rows), size)]
+        out = [r for b in _meetings(4)(iter(batches)) for r in b.to_pylist()]
+        assert {(r["x"], r["a"]) for r in out if r["common"]} == want_common
+        assert {(r["a"], r["b"]) for r in out if not r["common"]} == want_pairs
+        assert len([r for r in out if not r["common"]]) == 2 + 1 + 3
+
+
 def test_jaccard_odd_rows(spark):
     got = jaccard_components(table(spark, odd_rows(), True), 3, 9, 10).collect()
     by = {}
