@@ -53,6 +53,16 @@ def _grams(data: np.ndarray) -> np.ndarray:
     return out
 
 
+def own_grams(texts: list[str | None]) -> np.ndarray:
+    """The grams that end within a text, of all texts; none ends in the blanks between two."""
+    data, starts, ends = _joined(texts)
+    grams = _grams(data)
+    edge = np.zeros(len(grams) + 1, np.int64)
+    np.add.at(edge, starts - _GAP, 1)
+    np.subtract.at(edge, ends - _GAP, 1)
+    return grams[np.cumsum(edge[:-1]) > 0]
+
+
 def count_grams(rows: DataFrame) -> DataFrame:
     """key, toxic_n, plain_n of every gram in rows of text and toxic, over all of them."""
     shape = "key long, toxic_n long, plain_n long"
@@ -73,9 +83,9 @@ def count_grams(rows: DataFrame) -> DataFrame:
         for batch in batches:
             labels = batch.column(1).to_pylist()
             for c in (0, 1):
-                data, _, _ = _joined([t for t, x in zip(batch.column(0).to_pylist(), labels, strict=True) if x == c])
-                held[c].append(_grams(data))
-                held[2] += len(data)
+                grams = own_grams([t for t, x in zip(batch.column(0).to_pylist(), labels, strict=True) if x == c])
+                held[c].append(grams)
+                held[2] += len(grams)
             if held[2] > 1 << 25:
                 yield flush()
         if held[2]:
@@ -222,20 +232,21 @@ def toxicity(docs: DataFrame, labels: DataFrame, counted: Column, calibrated: Co
     """doc_id, score and predicted of every document.
 
     docs: doc_id and text; labels: doc_id and toxic (0 or 1; others and nulls are
-    ignored).  Grams are counted over all labelled documents where `counted` holds; the
+    ignored; of several labels of one doc_id the highest holds).  Grams are counted over all labelled documents where `counted` holds; the
     curve is fitted on at most about calibration_rows labelled documents where
     `calibrated` holds, chosen by a hash.  Counting is a sum by gram, so no class or
     source meets in one task.  All grams and contexts are scored by: their tables are
     broadcast in shards, as many as the grams ask for, and a worker holds one at a time.
     A score reads text alone; null, empty and blank texts carry no evidence and get the
-    curve's value there.  Without rows of both classes every score is 0.  Repeated rows get
+    curve's value there.  A text may be as long as a row can be; a score on the threshold is
+    predicted 1.  Without rows of both classes every score is 0.  Repeated rows get
     equal scores; other columns are ignored; an empty table gives no rows.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    known = labels.where(F.col("toxic").isin(0, 1))
+    known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     n = known.where(calibrated).count()
-    known = known.select(F.col("doc_id").alias("l_id"), F.col("toxic").cast("int").alias("toxic"))
+    known = known.select(F.col("doc_id").alias("l_id"), "toxic")
     share = min(1.0, calibration_rows / max(n, 1))
     drawn = F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)))
     used = docs.select("doc_id", "text").where(counted | (calibrated & drawn))

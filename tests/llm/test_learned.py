@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tesserae.llm.common import crc_mod
-from tesserae.llm.language import Classifier, dictionaries, identify
+from tesserae.llm.language import Classifier, dictionaries, identify, letters, training_texts
 from tesserae.llm.toxicity import _grams, _joined, count_grams, features, fit, score_tables, toxicity
 
 from .helpers import odd_rows, table
@@ -107,3 +107,86 @@ def test_toxicity_scores_by_every_gram(spark, shard_rows):
     for t, x in zip(texts, got, strict=True):
         own = [seen.get(g, after.get(g >> 8, 0.0)) for g in _grams(_joined([t])[0]).tolist()]
         assert x == pytest.approx(sum(own) / max(len(own), 1), abs=1e-4)
+
+
+def kneser_ney(rows, text):
+    """Mean log-likelihood difference a byte of text, straight from the counts of its grams."""
+    import math
+    from collections import Counter
+
+    counts = [Counter(), Counter()]
+    for t, c in rows:
+        counts[c].update(_grams(_joined([t])[0]).tolist())
+    every = set(counts[0]) | set(counts[1])
+    levels, at = {}, every
+    for k in range(5, 0, -1):
+        c = Counter(g & ((1 << 8 * k) - 1) for g in at)
+        levels[k], at = c, set(c)
+
+    def shared(g, k):
+        if k == 0:
+            return 1 / 256
+        key, low = g & ((1 << 8 * k) - 1), shared(g, k - 1)
+        same = [n for other, n in levels[k].items() if other >> 8 == key >> 8]
+        return (max(levels[k].get(key, 0) - 0.75, 0) + 0.75 * len(same) * low) / sum(same)
+
+    def p(g, c):
+        same = [n for other, n in counts[c].items() if other >> 8 == g >> 8]
+        if not same:
+            return shared(g, 5)
+        return max(counts[c].get(g, 0) - 0.75, 0) / sum(same) + 0.75 * len(same) / sum(same) * shared(g, 5)
+
+    grams = [g for g in _grams(_joined([text])[0]).tolist()]
+    return sum(math.log(p(g, 1)) - math.log(p(g, 0)) for g in grams if g in every) / len(grams), all(g in every for g in grams)
+
+
+def test_toxicity_models_by_brute_force(spark):
+    rows = [("grob grob ver", 1), ("grob nix ver", 1), ("lala nix ver la", 0), ("lala lulu ver grob", 0), ("lulu nix", 0)]
+    grams, contexts = fit(count_grams(spark.createDataFrame(rows, "text string, toxic int")))
+    tables = list(score_tables(grams, contexts))
+    for text in ("grob grob ver", "lala nix ver la", "lulu nix", "grob nix ver"):
+        want, known = kneser_ney(rows, text)
+        assert known and features([text], tables)[0, 0] == pytest.approx(want, abs=1e-4)
+
+
+def test_toxicity_takes_one_label_a_document(spark):
+    rows, labels = toxic_rows()
+    docs = table(spark, rows)
+    fold = F.coalesce(crc_mod(F.col("doc_id"), 4), F.lit(0))
+    shape = "doc_id long, quality int, toxic int"
+    once = toxicity(docs, spark.createDataFrame(labels, shape), fold.isin(0, 1), fold == 3)
+    more = labels + labels + [(d, q, 0) for d, q, t in labels if t]  # repeated, and contradicted
+    again = toxicity(docs, spark.createDataFrame(more, shape), fold.isin(0, 1), fold == 3)
+    want = {r.doc_id: r.score for r in once.collect()}
+    assert {r.doc_id: pytest.approx(r.score, abs=1e-9) for r in again.collect()} == want
+
+
+def test_language_equals_plain_compression(spark):
+    """The same dictionaries and sizes, with one compressor call a block and no shared state."""
+    import zstandard
+
+    docs = table(spark, language_rows())
+    usable = F.col("doc_id") % 3 != 0
+    raw = dictionaries(training_texts(docs, usable))
+
+    def size(text, lang, level):
+        d = zstandard.ZstdCompressionDict(raw[lang], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        data = letters(text)
+        make = lambda: zstandard.ZstdCompressor(level=level, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False)
+        return sum(len(make().compress(data[k : k + 1024])) for k in range(0, len(data), 1024))
+
+    got = {r.doc_id: (r.lang_pred, r.score) for r in identify(docs, usable).collect()}
+    for d, t, *_ in language_rows()[::10]:
+        for level in (3, 19):
+            sizes = sorted((size(t, x, level), x) for x in raw)
+            margin = 1 - sizes[0][0] / sizes[1][0]
+            if margin >= 0.03:
+                break
+        assert got[d] == (sizes[0][1], pytest.approx(margin, abs=0.02))
+
+
+def test_language_dictionaries_for_every_language(spark):
+    rows = [(k, f"wort{k} satz{k % 7} text", f"l{k % 70}", "s") for k in range(210)] + [(5, "wort5 satz5 text", "l5", "s")] * 50
+    texts = training_texts(table(spark, rows), F.lit(True), sample_texts=140)
+    assert len(texts) == 70 and all(1 <= len(x) <= 2 for x in texts.values())
+    assert len(training_texts(table(spark, rows), F.lit(True), sample_texts=7)) == 70
