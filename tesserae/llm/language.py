@@ -6,14 +6,14 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import small_batches
 
 SAMPLE_DOCS = 128
 SAMPLE_CHARS = 2000
-LANGUAGES = 400
+SAMPLE_TEXTS = 51_200  # of all languages together
 BLOCK = 1024
 MARGIN = 0.01
 LEVEL, CLOSE_LEVEL = 3, 19
@@ -21,27 +21,31 @@ CLOSE = 0.03
 UNKNOWN = "und"
 
 
-def training_texts(docs: DataFrame, usable: Column, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS, languages: int = LANGUAGES) -> dict[str, list[str]]:
-    """A bounded sample of labelled texts for each of the most frequent languages.
+def training_texts(docs: DataFrame, usable: Column, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS, sample_texts: int = SAMPLE_TEXTS) -> dict[str, list[str]]:
+    """A bounded sample of labelled texts for every language.
 
-    At most sample_docs texts of at most sample_chars characters a language, those
-    with the smallest hashes of doc_id and text; so the sample (and the dictionaries
-    made from it) has at most languages * sample_docs * sample_chars characters.
+    At most sample_docs different texts of at most sample_chars characters a language,
+    those with the smallest hashes of doc_id and text.  Where that makes more than
+    sample_texts in all, each language gets an equal share of them, one at least, so no
+    language goes without a dictionary.
     """
     rows = docs.where(usable & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("text").rlike("\\p{L}"))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()}
-    if not counts:
+    n = rows.agg(F.count_distinct("lang")).first()[0]
+    if not n:
         return {}
-    grid = 1 << 30
-    limit = F.lit(0)
-    for lang, n in counts.items():
-        limit = F.when(F.col("lang") == lang, min(grid, grid * 4 * sample_docs // n + 1)).otherwise(limit)
-    spot = F.pmod(F.xxhash64("doc_id", "text"), F.lit(grid))
-    near = rows.withColumn("spot", spot).where(F.col("spot") < limit).select("lang", "spot", F.substring("text", 1, sample_chars).alias("text"))
+    sample_docs = max(1, min(sample_docs, sample_texts // n))
+    rows = rows.withColumn("spot", F.xxhash64("doc_id", "text"))
+    # Repeated rows have one spot; a task sends on no more than its own first spots of each language.
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("spot"))
+    spots = rows.select("lang", "spot").distinct().withColumn("place", place).where(F.col("place") <= sample_docs)
+    last = {r["lang"]: r["last"] for r in spots.groupBy("lang").agg(F.max("spot").alias("last")).collect()}
+    limit = F.create_map(*(F.lit(x) for kv in last.items() for x in kv))
+    near = rows.where(F.col("spot") <= limit[F.col("lang")])
+    first = near.groupBy("lang", "spot").agg(F.min(F.substring("text", 1, sample_chars)).alias("text"))
     found: dict[str, list[tuple]] = {}
-    for r in near.toLocalIterator():
+    for r in first.select("lang", "spot", "text").collect():
         found.setdefault(r["lang"], []).append((r["spot"], r["text"]))
-    return {lang: [t for _, t in sorted(rows)[:sample_docs]] for lang, rows in sorted(found.items())}
+    return {lang: [t for _, t in sorted(rows)] for lang, rows in sorted(found.items())}
 
 
 _OTHER = re.compile(r"[\W\d_]+")
