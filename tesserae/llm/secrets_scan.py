@@ -35,6 +35,7 @@ RULES = (
 )
 BASE = ("assign", "access", "hex")
 RULE_VERSION = 1
+SALTS = 16
 _SPAN = "array<struct<start:int,kind_no:int,end:int,kind:string>>"
 
 
@@ -85,8 +86,9 @@ def scan(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ..
     docs: doc_id (the path) and text; a null text is the empty blob.  A blob is named by
     the SHA-256 of its text, so copies and unchanged versions are scanned once, through
     the path with the smallest doc_id; only hashes and ids are gathered to choose it.
-    The result is written to the shared folder and can be passed as the next run's
-    ledger.  An empty table adds nothing.
+    What is found is written to the shared folder as a further part of the ledger, which
+    is only ever appended to.  An empty table adds nothing.  Texts are scanned whole; the
+    time for one grows with the square of its number of findings.
     """
     named = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("blob", F.sha2("text", 256))
     first = named.groupBy("blob").agg(F.min("doc_id").alias("first_id"))
@@ -95,17 +97,32 @@ def scan(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ..
     first = first.withColumnRenamed("blob", "first_blob")
     unseen = named.join(first, (named.blob == first.first_blob) & named.doc_id.eqNullSafe(first.first_id))
     found = unseen.select("blob", F.lit(version).alias("rule_version"), all_spans(F.col("text"), rules).alias("spans")).dropDuplicates(["blob"])
-    if ledger is not None:
-        found = ledger.select("blob", "rule_version", "spans").unionByName(found)
-    return saved(found, "secret-ledger")
+    part = saved(found, "secret-ledger")
+    return part if ledger is None else ledger.select("blob", "rule_version", "spans").unionByName(part)
+
+
+def scan_increments(docs: DataFrame, increments: list[Column], rules: tuple[Rule, ...] = RULES, version: int = RULE_VERSION) -> DataFrame:
+    """The ledger after scanning the rows of docs for which each condition holds, one after another.
+
+    Blobs that an earlier increment holds aren't scanned again.
+    """
+    ledger = None
+    for chosen in increments:
+        ledger = scan(docs.where(chosen), ledger, rules, version)
+    return ledger
 
 
 def findings(docs: DataFrame, ledger: DataFrame, version: int = RULE_VERSION) -> DataFrame:
-    """docs with its blob and spans, from the ledger; every row of docs, repeated ones too."""
-    docs = docs.drop("blob", "spans")
+    """docs with its blob and spans, from the ledger; every row of docs, repeated ones too.
+
+    Columns named blob and spans are replaced.  The rows of one blob are dealt over SALTS
+    tasks by their doc_id, so that a text of very many rows doesn't meet in one.
+    """
+    docs = docs.drop("blob", "spans", "hit_salt")
     named = docs.withColumn("blob", F.sha2(F.coalesce("text", F.lit("")), 256))
-    hits = ledger.where((F.col("rule_version") == version) & (F.size("spans") > 0)).select(F.col("blob").alias("hit_blob"), "spans")
-    return named.join(hits, named.blob == hits.hit_blob, "left").withColumn("spans", F.coalesce("spans", F.array().cast(_SPAN))).drop("hit_blob")
+    hits = ledger.where((F.col("rule_version") == version) & (F.size("spans") > 0)).select(F.col("blob").alias("hit_blob"), "spans", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("hit_salt"))
+    salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))
+    return named.join(hits, (named.blob == hits.hit_blob) & (salt == F.col("hit_salt")), "left").withColumn("spans", F.coalesce("spans", F.array().cast(_SPAN))).drop("hit_blob", "hit_salt")
 
 
 def digest(found: DataFrame) -> DataFrame:
