@@ -74,7 +74,8 @@ def pack_along_curve(docs: DataFrame, tokenizer: str, length: int = 1024, end_id
     holds the end id alone.  Each document's ids are cut where a sequence of `length`
     is full, so only the last ids of a task are left; those fill sequences of powers
     of two, largest first.  Documents on one key (exact copies) are spread over tasks
-    by a hash of doc_id.  Repeated rows are packed each.  An empty table gives no rows.
+    by a hash of doc_id, and repeated rows by the part of the input that holds them; each
+    is packed.  A text may be as long as a row can be.  An empty table gives no rows.
     cache bounds the words that a worker remembers; without keep it forgets them, and the
     vocabulary, after each task.
     """
@@ -115,8 +116,8 @@ def pack_along_curve(docs: DataFrame, tokenizer: str, length: int = 1024, end_id
             release()
 
     shape = "doc_id long, text string, curve_key long"
-    ordered = docs.select("doc_id", "text").mapInArrow(keyed, shape).withColumn("tie", F.xxhash64("doc_id"))
-    ordered = ordered.repartitionByRange(parts, "curve_key", "tie").sortWithinPartitions("curve_key", "tie", "doc_id").drop("tie")
+    ordered = docs.select("doc_id", "text").mapInArrow(keyed, shape).withColumns({"tie": F.xxhash64("doc_id"), "part": F.spark_partition_id()})
+    ordered = ordered.repartitionByRange(parts, "curve_key", "tie", "part").sortWithinPartitions("curve_key", "tie", "doc_id", "part").drop("tie", "part")
     return ordered.mapInArrow(fill, OUT)
 
 

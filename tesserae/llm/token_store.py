@@ -134,7 +134,8 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int = 2, file_tok
     docs needs doc_id and text; other columns are ignored.  A null text is empty; a
     null doc_id comes first.  Repeated rows are kept, each with its own ids; an empty
     table gives no files.  The result is the written table of files; first_token
-    counts the ids of the same part before the file.  One task streams one range of
+    counts the ids of the same part before the file.  Files are neither compressed nor
+    split, so a reader may map one and read any id by a few bytes of it.  One task streams one range of
     doc_ids, so its memory is that of one file.
     """
     small_batches(docs.sparkSession)
@@ -165,7 +166,8 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int = 2, file_tok
             yield flush()
 
     ordered = docs.select("doc_id", "text").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
-    return saved(ordered.mapInArrow(run, FILES), "token-files", "zstd")
+    # Stored as it is: a file's bytes lie in one piece within the Parquet file and can be mapped.
+    return saved(ordered.mapInArrow(run, FILES), "token-files", "uncompressed")
 
 
 def read_token_files(files: DataFrame) -> DataFrame:
