@@ -71,6 +71,19 @@ def raked(cells: DataFrame, flatten: dict[str, float] = FLATTEN, budget: float =
     return fitted.drop("before")
 
 
+def residuals(cells: DataFrame, fitted: DataFrame, flatten: dict[str, float] = FLATTEN, budget: float = BUDGET) -> DataFrame:
+    """name, value, target, reached and share_off (1 - reached / target) of every marginal after raking."""
+    total = cells.agg(F.sum("mass")).first()[0] or 0
+    out = None
+    for name, power in flatten.items():
+        t = cells.groupBy(F.col(f"c_{name}").alias("value")).agg(F.pow(F.sum("mass").cast("double"), F.lit(power)).alias("p"))
+        scale = t.agg(F.sum("p")).first()[0] or 1.0
+        w = fitted.groupBy(F.col(f"c_{name}").alias("r_value")).agg(F.sum("w").alias("reached"))
+        part = t.join(w, F.col("value") == F.col("r_value")).select(F.lit(name).alias("name"), "value", (F.col("p") * F.lit(budget * float(total) / scale)).alias("target"), "reached")
+        out = part if out is None else out.union(part)
+    return out.withColumn("share_off", 1 - F.col("reached") / F.col("target"))
+
+
 def mixed(docs: DataFrame, flatten: dict[str, float] = FLATTEN, budget: float = BUDGET, rounds: int | None = None, seed: int = SEED) -> DataFrame:
     """docs with c_source, c_lang, c_topic, tokens, probability and selected.
 
@@ -78,7 +91,9 @@ def mixed(docs: DataFrame, flatten: dict[str, float] = FLATTEN, budget: float =
     target marginals; a document's probability is its cell's weight over its mass, and
     it is selected if a hash of seed, doc_id and text, as a number in [0, 1), is below
     it.  So a re-run selects the same rows, and equal rows go together.  A null source
-    or language is a value of its own, the empty string; a null text is empty.  An empty
+    or language is a value of its own, the empty string; a null text is empty.  Tokens are
+    counted as words, a measure that SQL has.  Texts are read whole; a draw that equals the
+    probability isn't selected.  An empty
     table gives no rows.  Columns named like the new ones are replaced.
     """
     named = _named(docs)

@@ -20,7 +20,7 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing as H
@@ -300,9 +300,11 @@ def _meetings(hot: int) -> Callable:
     return run
 
 
-def jaccard_components(docs: DataFrame, width: int = 5, num: int = 8, den: int = 10, block: int = BLOCK, hot: int = HOT) -> DataFrame:
+def jaccard_components(docs: DataFrame, width: int = 5, num: int = 8, den: int = 10, block: int = BLOCK, hot: int = HOT, mark: Column | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id: components of documents whose sets are at num/den or more.
 
+    mark: a long of each row that is to be returned with it.
+
     docs needs doc_id and text; other columns are ignored.  With fewer words than width
     the whole sequence is one shingle; null and blank texts have none and stand alone.
     component_id is the smallest doc_id reachable by links, the document's own
@@ -327,10 +329,11 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 8, den: int =
             keys = [set_key(s) if len(s) else None for s in sets]
             spare = [least_spares(s, num, den) if len(s) else {} for s in sets]
             columns = [pa.array(keys, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), *(pa.array([x.get(p) for x in spare], pa.int64()) for p in (0, 1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "key", "n_shingles", "even", "odd"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns, batch.column(2)], names=["doc_id", "key", "n_shingles", "even", "odd", "mark"])
 
     plain = docs.select("doc_id", "text")
-    all_docs = saved(plain.mapInArrow(named, "doc_id long, key long, n_shingles long, even long, odd long"), "join-docs")
+    marked = docs.select("doc_id", "text", (F.lit(0) if mark is None else mark).cast("long").alias("mark"))
+    all_docs = saved(marked.mapInArrow(named, "doc_id long, key long, n_shingles long, even long, odd long, mark long"), "join-docs")
     reps = all_docs.where("doc_id is not null and key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.min("even").alias("even"), F.min("odd").alias("odd"))
     reps = saved(reps, "join-reps")
 
@@ -409,7 +412,8 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 8, den: int =
     merged = joined.join(least, F.col("root") == F.col("l_root")).select(F.col("node").alias("m_key"), "least")
     final = saved(reps.join(merged, F.col("key") == F.col("m_key"), "left").select(F.col("key").alias("f_key"), F.coalesce("least", "rep").alias("component")), "join-final")
     out = all_docs.join(final, F.col("key") == F.col("f_key"), "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("component", "doc_id")).alias("component_id"))
+    found = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("component", "doc_id")).alias("component_id"), "mark")
+    return found.drop("mark") if mark is None else found
 
 
 def _checked(rows: list[tuple], width: int) -> list[tuple]:

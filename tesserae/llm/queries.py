@@ -19,7 +19,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     fold = F.coalesce(crc_mod(F.col("doc_id"), 4), F.lit(0))
     docs, labels = (table(spark, sf_dir, x) for x in ("documents", "labels"))
-    return toxicity(docs, labels, fold.isin(0, 1), fold == 3).select("doc_id", (crc_mod(F.col("doc_id"), 4) == 2).alias("held_out"), "score", "predicted")
+    return toxicity(docs, labels, fold.isin(0, 1), fold == 3).select("doc_id", F.coalesce(crc_mod(F.col("doc_id"), 4) == 2, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,10 +67,11 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .secrets_scan import digest, findings, scan
+    from .secrets_scan import digest, findings, scan_increments
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return digest(findings(docs, scan(docs)))
+    night = F.coalesce(F.pmod("doc_id", F.lit(2)), F.lit(0))
+    return digest(findings(docs, scan_increments(docs, [night == 0, night == 1])))
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,7 +100,28 @@ g AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS a, count(*) FILTER (ki
 SELECT doc_id, coalesce(a, 0) AS n_assign, coalesce(c, 0) AS n_access, coalesce(h, 0) AS n_hex, sha256(coalesce(b, '')) AS base_sha256, coalesce(spans, '') AS spans FROM documents LEFT JOIN g USING (doc_id)"""
 
 
+_WORD = r"[^\x20\x09-\x0D]+"
+_EDGE = r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$"
+
 ORACLE_SQL: dict[str, str] = {
+    "op2_quality_rules": rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, source AS host, coalesce(text, '') AS t FROM documents),
+w AS (SELECT r, regexp_extract_all(t, '{_WORD}') AS ws FROM d),
+g AS (SELECT r, k, array_to_string(ws[k:k + 4], ' ') AS g FROM (SELECT r, ws, unnest(range(1, len(ws) - 3)) AS k FROM w)),
+again AS (SELECT r, g FROM g GROUP BY r, g HAVING count(*) > 1),
+rep AS (SELECT r, count(DISTINCT k + j) AS n FROM g JOIN again USING (r, g), range(5) x(j) GROUP BY r),
+l AS (SELECT r, host, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS nth FROM d),
+m AS (SELECT *, regexp_replace(regexp_replace(lower(regexp_replace(line, '{_EDGE}', '', 'g')), '[0-9]', '0', 'g'), '[\x20\x09-\x0D]+', ' ', 'g') AS plain,
+  len(regexp_extract_all(line, '{_WORD}')) AS words FROM l WHERE regexp_matches(line, '{_WORD}')),
+f AS (SELECT r, string_agg(plain, chr(10) ORDER BY nth) AS family, count(*) - count(DISTINCT line) AS dups FROM m GROUP BY r),
+h AS (SELECT host, greatest(50, count(DISTINCT family) * 0.005) AS most FROM m JOIN f USING (r) GROUP BY host),
+c AS (SELECT m.host AS host, plain FROM m JOIN f USING (r) JOIN h ON m.host IS NOT DISTINCT FROM h.host GROUP BY m.host, plain, most HAVING count(DISTINCT family) > most),
+gone AS (SELECT r, sum(words) AS words, count(*) AS n FROM m JOIN c ON m.plain = c.plain AND m.host IS NOT DISTINCT FROM c.host GROUP BY r),
+b AS (SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+  coalesce(dups, 0)::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words, coalesce(gone.words, 0)::BIGINT AS words_removed, coalesce(gone.n, 0)::BIGINT AS lines_removed
+  FROM d JOIN w USING (r) LEFT JOIN f USING (r) LEFT JOIN rep USING (r) LEFT JOIN gone USING (r))
+SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+  NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND n_words - words_removed >= 10 AND n_words - words_removed >= 0.5 * n_words AS kept FROM b""",
     "op9_secret_scan": _secret_sql(),
     "op5_substring_dedup": r"""
 WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),

@@ -14,11 +14,11 @@ from pyspark.sql import functions as F
 from tesserae.llm import hashing as H
 from tesserae.llm.components import components
 from tesserae.llm.fm_index import FMIndex
-from tesserae.llm.mixing import mixed, raked
+from tesserae.llm.mixing import mixed, raked, residuals
 from tesserae.llm.ngram_join import Lists, _meetings, jaccard_components, signatures
 from tesserae.llm.packing import hilbert_index, pack_along_curve
 from tesserae.llm.quality import quality_rules, repeated_words, text_counts
-from tesserae.llm.secrets_scan import digest, findings, redacted, scan, spans_text
+from tesserae.llm.secrets_scan import digest, findings, redacted, scan, scan_increments, spans_text
 from tesserae.llm.substring_dedup import substring_dedup
 from tesserae.llm.token_store import TokenFile, pack, read_token_files, write_token_files
 from tesserae.llm.tokens import Encoder, encoder
@@ -505,3 +505,91 @@ def test_mixing(spark, clashes):
 
 def test_schema_of_documents():
     assert SCHEMA.startswith("doc_id long")
+
+
+def test_token_files_lie_uncompressed_in_the_store(spark, tokenizer):
+    """One id is read through a mapping, by the bytes of its file within the stored one."""
+    import mmap
+
+    rows = [(k, f"document {k} of words and 123 numbers", "en", "a") for k in range(40)]
+    files = write_token_files(table(spark, rows), tokenizer, parts=1)
+    (row,) = files.collect()
+    path = next(p for p in files.inputFiles() if p.endswith(".parquet")).removeprefix("file:").replace("///", "/")
+    with open(path, "rb") as f, mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ) as held:
+        at = held.find(bytes(row.content))
+        assert at > 0
+        mapped = TokenFile(memoryview(held)[at : at + len(row.content)])
+        whole = TokenFile(bytes(row.content))
+        assert [mapped.token(i) for i in (0, 5, whole.n_tokens - 1)] == [whole.token(i) for i in (0, 5, whole.n_tokens - 1)]
+        del mapped
+
+
+def brute_quality(rows, min_documents, host_share, min_words=10, max_removed=0.5):
+    """words_removed and kept of every document by sets of documents for each line of a host."""
+    plain = lambda x: re.sub("[ \t\n\x0b\x0c\r]+", " ", re.sub("[0-9]", "0", x.strip(" \t\n\x0b\x0c\r").lower()))
+    lines = {d: [x for x in (t or "").split("\n") if x.split()] for d, t, *_ in rows}
+    body = {d: tuple(map(plain, x)) for d, x in lines.items()}
+    holders, hosts = {}, {}
+    for d, _, _, host in rows:
+        if body[d]:
+            hosts.setdefault(host, set()).add(body[d])
+            for x in body[d]:
+                holders.setdefault((host, x), set()).add(body[d])
+    out = {}
+    for d, t, _, host in rows:
+        n, _, _, _, again = text_counts(t)
+        gone = sum(len(x.split()) for x in lines[d] if len(holders[host, plain(x)]) > max(min_documents, host_share * len(hosts[host])))
+        stands = n - gone >= min_words and n - gone >= (1 - max_removed) * n
+        out[d] = (gone, bool(stands and n >= 10 and 100 * again <= 20 * n))
+    return out
+
+
+@pytest.mark.parametrize("share", [0.0, 0.3])
+def test_quality_verdicts_by_brute_force(spark, share):
+    r, rows = random.Random(4), []
+    common = [f"line {k} that the host {k % 3} prints" for k in range(9)]
+    for k in range(240):
+        own = [" ".join(words(r.randint(3, 25), 10 * k + j, 10)) for j in range(r.randint(0, 4))]
+        text = "\n".join(r.sample(common, r.randint(0, 6)) + own + [""] * (k % 2))
+        rows.append((k, text, "en", "abc"[k % 3]))
+    rows += [(240 + k, rows[k][1], "en", rows[k][3]) for k in range(30)]
+    got = {x.doc_id: (x.words_removed, x.kept) for x in quality_rules(table(spark, rows), min_documents=20, host_share=share).collect()}
+    want = brute_quality(rows, 20, share)
+    assert got == want and {True, False} == {k for _, k in want.values()} and any(g for g, _ in want.values())
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_header_and_footer_go_from_every_document(spark, seed):
+    head, foot = f"welcome to host {seed} please read on", f"all rights reserved by host {seed} since then"
+    rows = [(k, "\n".join([head, " ".join(words(40, 1000 * seed + k, 10)), foot]), "en", "h") for k in range(120)]
+    got = quality_rules(table(spark, rows)).collect()
+    assert {r.lines_removed for r in got} == {2} and all(r.kept for r in got)
+
+
+def test_residuals_of_raking(spark):
+    cells = [("a", "en", "p", 1000), ("b", "en", "p", 10), ("a", "fr", "q", 500)]
+    df = spark.createDataFrame(cells, "c_source string, c_lang string, c_topic string, mass long")
+    fitted = raked(df)
+    got = {(x.name, x.value): x for x in residuals(df, fitted).collect()}
+    assert len(got) == 6
+    for (name, value), x in got.items():
+        w = sum(r.w for r in fitted.collect() if r[f"c_{name}"] == value)
+        assert x.reached == pytest.approx(w) and x.share_off == pytest.approx(1 - w / x.target)
+
+
+def test_ledger_of_increments_scans_each_blob_once(spark):
+    rows = [(k, f"token=abcdefg{k % 3}", "en", "a") for k in range(30)]
+    docs = table(spark, rows)
+    whole = scan(docs)
+    parts = scan_increments(docs, [F.col("doc_id") % 4 == k for k in range(4)])
+    key = lambda r: str(r)
+    assert sorted(parts.collect(), key=key) == sorted(whole.collect(), key=key) and parts.count() == 3
+    assert rows_of(digest(findings(docs, parts))) == rows_of(digest(findings(docs, whole)))
+
+
+def test_top_k_of_repeated_vectors(spark):
+    """Repeated rows lie in several blocks and are candidates each."""
+    rows = [(1, [0.5, 0.25]), *[(2, [0.5, 0.5])] * 9, (3, [0.1, 0.9])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(5)
+    got = exact_top_k(df, F.col("vec_id") == 1, k=4, rows=2, queries=1).collect()
+    assert [(r.rank, r.vec_id) for r in sorted(got, key=lambda r: r.rank)] == [(k, 2) for k in range(1, 5)]
