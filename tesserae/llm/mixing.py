@@ -5,12 +5,13 @@ Native: DataFrame and SQL functions only.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import saved
 
 TOLERANCE = 1e-5  # largest relative change of a marginal in the last round
+FEW_CELLS = 100_000
 SEED = 20240
 #: Exponents that flatten each marginal's shares towards equal ones.
 FLATTEN = {"source": 0.7, "lang": 0.7, "topic": 0.8}
@@ -45,30 +46,32 @@ def raked(cells: DataFrame, flatten: dict[str, float] = FLATTEN, budget: float =
 
     cells: c_source, c_lang, c_topic, mass.  The target of a value is its share of mass
     to the power flatten, times budget of all tokens.  Each step scales one marginal to
-    its targets and caps at the mass, and is written, so the plan stays short.  Rounds of
+    its targets and caps at the mass; each round is written, so the plan stays short.  Rounds of
     all three go on until none changes a marginal by more than TOLERANCE of it; with
     rounds, no further than that many.  Values that can't reach their target within the
     cap stay below.
     """
-    total = cells.agg(F.sum("mass")).first()[0] or 0
+    total, n = cells.agg(F.sum("mass"), F.count(F.lit(1))).first()
     fitted = cells.withColumn("w", F.col("mass") * F.lit(float(budget)))
-    targets = {}
     for name, power in flatten.items():
         t = cells.groupBy(f"c_{name}").agg(F.pow(F.sum("mass").cast("double"), F.lit(power)).alias("p"))
         scale = t.agg(F.sum("p")).first()[0] or 1.0
-        targets[name] = saved(t.select(F.col(f"c_{name}").alias("t_key"), (F.col("p") * F.lit(budget * float(total) / scale)).alias("target")), "mix-target")
+        t = t.select(F.col(f"c_{name}").alias("t_key"), (F.col("p") * F.lit(budget * float(total or 0) / scale)).alias(f"t_{name}"))
+        fitted = fitted.join(t, F.col(f"c_{name}") == F.col("t_key")).drop("t_key")
+    # Few cells are one partition, in which sums need no exchange; more are dealt by the summed value.
+    together = (lambda df: df.coalesce(1)) if n <= FEW_CELLS else (lambda df: df)
+    fitted = together(saved(together(fitted), "mix-cells"))
     done = 0
     while rounds is None or done < rounds:
         fitted = fitted.withColumn("before", F.col("w"))
         for name in flatten:
-            sums = fitted.groupBy(F.col(f"c_{name}").alias("s_key")).agg(F.sum("w").alias("s"))
-            factor = sums.join(targets[name], F.col("s_key") == F.col("t_key")).select("s_key", (F.col("target") / F.greatest("s", F.lit(1e-12))).alias("f"))
-            fitted = fitted.join(factor, F.col(f"c_{name}") == F.col("s_key")).withColumn("w", F.least(F.col("w") * F.col("f"), F.col("mass").cast("double"))).drop("s_key", "f")
-            fitted = saved(fitted, "mix-cells")
+            reached = F.sum("w").over(Window.partitionBy(f"c_{name}"))
+            fitted = fitted.withColumn("w", F.least(F.col("w") * F.col(f"t_{name}") / F.greatest(reached, F.lit(1e-12)), F.col("mass").cast("double")))
+        fitted = together(saved(fitted, "mix-cells"))
         done += 1
         if _change(fitted, flatten) <= TOLERANCE:
             break
-    return fitted.drop("before")
+    return fitted.drop("before", *(f"t_{name}" for name in flatten))
 
 
 def residuals(cells: DataFrame, fitted: DataFrame, flatten: dict[str, float] = FLATTEN, budget: float = BUDGET) -> DataFrame:
