@@ -7,6 +7,29 @@ from pyspark.sql import functions as F
 
 from .common import saved
 
+HUB_ROWS = 1_000
+HUB_SHARE = 64  # a node of more than this part of all rows is a hub: there are no more than twice as many
+SALTS = 64
+
+
+def _with_least(rows: DataFrame, own: bool) -> tuple[DataFrame, DataFrame]:
+    """rows (u, v) with m, the smallest v of each u (or u itself, if own), and the table (w, m).
+
+    The rows of a hub are dealt over SALTS tasks, each with a copy of its one row of the table.
+    """
+    small = F.min("v")
+    least = rows.groupBy(F.col("u").alias("w")).agg((F.least(small, F.first("u")) if own else small).alias("m"), F.count(F.lit(1)).alias("n"))
+    least = saved(least, "components-least")
+    total = least.agg(F.sum("n")).first()[0] or 0
+    hubs = [r["w"] for r in least.where(F.col("n") > max(HUB_ROWS, total // HUB_SHARE)).select("w").collect()]
+    least = least.select("w", "m")
+    if not hubs:
+        return rows.join(least, F.col("u") == F.col("w")), least
+    salt = F.when(F.col("u").isin(hubs), F.pmod(F.xxhash64("v"), F.lit(SALTS))).otherwise(F.lit(0))
+    copies = F.when(F.col("w").isin(hubs), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    dealt = least.withColumn("salt", F.explode(copies))
+    return rows.join(dealt, (F.col("u") == F.col("w")) & (salt == F.col("salt"))).drop("salt"), least
+
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node, root for every node of an edge that joins two nodes; root is the smallest of its component.
@@ -22,11 +45,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         if state == seen or not state[0]:
             break
         seen = state
-        both = now.union(now.select(F.col("v"), F.col("u")))
-        least = both.groupBy(F.col("u").alias("w")).agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where(F.col("v") > F.col("u")).join(least, F.col("u") == F.col("w")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = saved(large, "components")
-        least = large.groupBy(F.col("u").alias("w")).agg(F.min("v").alias("m"))
-        small = large.join(least, F.col("u") == F.col("w")).select(F.col("v").alias("u"), F.col("m").alias("v")).where(F.col("u") != F.col("v"))
+        both, _ = _with_least(now.union(now.select(F.col("v"), F.col("u"))), True)
+        large = saved(both.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "components")
+        met, least = _with_least(large, False)
+        small = met.select(F.col("v").alias("u"), F.col("m").alias("v")).where(F.col("u") != F.col("v"))
         now = saved(small.union(least.select(F.col("w").alias("u"), F.col("m").alias("v"))).distinct(), "components")
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -254,6 +254,7 @@ def test_exact_top_k(spark, rows, queries):
 def test_components(spark):
     r = random.Random(8)
     pairs = [(r.randrange(300), r.randrange(300)) for _ in range(200)] + [(k, k + 1) for k in range(1000, 1040)] + [(5, 5)]
+    pairs += [(9000, k) for k in range(7000, 8500)] + [(k, k + 3000) for k in range(7000, 7300)]  # a hub, and chains from it
     parent = {}
 
     def find(x):
