@@ -84,7 +84,8 @@ def differentiated(c: Column, reference: Column, least: int) -> Column:
 
 
 def premultiplied(c: Column, a: Column) -> Column:
-    return F.floor((c * a + 127) / 255)
+    """c and a each one higher, multiplied, less one, over 256."""
+    return F.shiftright(c * a + c + a, 8)
 
 
 def unpremultiplied(c: Column, a: Column) -> Column:

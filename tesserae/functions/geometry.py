@@ -70,3 +70,16 @@ def canvas_geometry(src: tuple[Column, Column], dest: tuple[Column, Column], fon
 def cells_of(pixels: Column, cell: int) -> Column:
     """Cells that hold so many pixels, the last one perhaps in part; an open side (-1) stays open."""
     return F.when(pixels < 0, pixels).otherwise(div(pixels + cell - 1, cell))
+
+
+def cell_dimensions(width: Column, height: Column, scale: Column | float, cell: tuple[int, int]) -> list[Column]:
+    """Cells that a scaled image of pixels takes, at least one a side; unknown cells are 10 by 20."""
+    cw, ch = cell[0] if cell[0] >= 1 else 10, cell[1] if cell[1] >= 1 else 20
+    factor = F.greatest(F.lit(scale) if isinstance(scale, int | float) else scale, F.lit(0.00001))
+    return [F.greatest(div(F.floor(v * factor) + c - 1, c), F.lit(1)).cast("long") for v, c in ((width, cw), (height, ch))]
+
+
+def prescale_size(width: Column, height: Column, view: tuple[int, int], cell: tuple[int, int]) -> list[Column]:
+    """Pixels to draw a shape without a size of its own in: the wanted cells (or the view's), at least 160 a side."""
+    cw, ch = cell if cell[0] > 0 and cell[1] > 0 else (10, 20)
+    return [F.greatest(F.when(v > 0, v).otherwise(w) * c, F.lit(160)).cast("long") for v, w, c in ((width, view[0], cw), (height, view[1], ch))]

@@ -124,3 +124,68 @@ def vec_dot(a: Column, b: Column) -> Column:
 
 def vec_norm(a: Column) -> Column:
     return F.sqrt(vec_dot(a, a))
+
+
+def vec_round(a: Column) -> Column:
+    """Each number to the nearest whole one, halves away from zero."""
+    return F.transform(a, lambda x: F.when(x < 0, F.ceil(x - 0.5)).otherwise(F.floor(x + 0.5)))
+
+
+def vec_mean(vectors: Column) -> Column:
+    """The mean of an array of vectors of three."""
+    component = lambda k: F.aggregate(vectors, F.lit(0.0), lambda acc, v: acc + v[k]) / F.size(vectors)
+    return F.array(*map(component, range(3)))
+
+
+def grid_size(s: Column) -> tuple[Column, Column]:
+    """Columns and rows of a grid: like a size, "auto" leaves both open; null twice for anything else."""
+    w, h = size2d(s)
+    return F.when(w > 0, w), F.when(h > 0, h)
+
+
+def scale_factor(s: Column) -> Column:
+    """A positive number or fraction; "max" and "fill" have no bound; null for anything else."""
+    value = fraction(s)
+    return F.when(F.lower(s).isin("max", "fill"), F.lit(float("inf"))).when(value > 0, value)
+
+
+def threshold(s: Column) -> Column:
+    """A number or fraction of 0 to 1; null for anything else."""
+    value = fraction(s)
+    return F.when((value >= 0) & (value <= 1), value)
+
+
+def anim_speed(s: Column) -> tuple[Column, Column]:
+    """Frames a second, and the factor of speed: "12fps", "2" or "max" (no bound); null twice for anything else."""
+    t = F.lower(s)
+    number = F.regexp_extract(t, r"^([0-9]+(?:\.[0-9]+)?)\s*(?:fps)?$", 1)
+    value = F.when(number != "", number).cast("double")
+    good = value > 0
+    fps = F.when(t.isin("max", "maximum"), F.lit(float("inf"))).when(good & t.endswith("fps"), value)
+    return fps, F.when(good & ~t.endswith("fps"), value)
+
+
+def alignment(s: Column) -> tuple[Column, Column]:
+    """Horizontal and vertical place (start, center, end) of up to two words between commas; null where
+    not given.  "center" goes to the side that the other word leaves open, the first of both.
+    A word that isn't known, or a third one, gives null twice.
+    """
+    words = F.split(F.lower(s), ",", -1)
+    # Words and what they place.
+    across = {"left": "start", "right": "end", "hcenter": "center", "hmid": "center"}
+    down = {"top": "start", "up": "start", "bottom": "end", "down": "end", "vcenter": "center", "vmid": "center"}
+    amid = ("center", "mid")
+    known = F.forall(words, lambda w: w.isin(*across, *down, *amid)) & (F.size(words) <= 2)
+
+    def said(table: dict[str, str]) -> Column:
+        last = F.element_at(F.filter(words, lambda w: w.isin(*table)), -1)
+        found = F.lit(None).cast("string")
+        for word, place in table.items():
+            found = F.when(last == word, place).otherwise(found)
+        return F.when(F.exists(words, lambda w: w.isin(*table)), found)
+
+    h, v = said(across), said(down)
+    n = F.size(F.filter(words, lambda w: w.isin(*amid)))
+    h2 = F.when((n > 0) & h.isNull(), "center").otherwise(h)
+    v2 = F.when((n > 1) | (n > 0) & h.isNotNull(), "center").otherwise(v)
+    return F.when(known, h2), F.when(known, v2)

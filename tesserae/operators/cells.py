@@ -15,11 +15,16 @@ PIXELS = SIDE * SIDE
 
 
 def cell_blocks(pixels: DataFrame) -> DataFrame:
-    """image_id, cx, cy, px: full cells with their pixels in row order."""
+    """image_id, cx, cy, px: cells with their 64 pixels in row order; what an image lacks is clear black."""
     i = (F.col("y") % SIDE) * SIDE + F.col("x") % SIDE
+    i_type = pixels.select(i.alias("i")).schema["i"].dataType
     at = F.struct(i.alias("i"), "r", "g", "b", "a")
     grouped = pixels.groupBy("image_id", C.div(F.col("x"), SIDE).alias("cx"), C.div(F.col("y"), SIDE).alias("cy"))
-    return grouped.agg(F.array_sort(F.collect_list(at)).alias("px")).where(F.size("px") == PIXELS)
+    zero = [F.lit(0).cast(pixels.schema[c].dataType).alias(c) for c in "rgba"]
+    lacking = F.array_except(F.sequence(F.lit(0).cast("long"), F.lit(PIXELS - 1).cast("long")), F.transform("px", lambda p: p["i"].cast("long")))
+    more = F.concat("px", F.transform(lacking, lambda k: F.struct(k.cast(i_type).alias("i"), *zero)))
+    cells = grouped.agg(F.collect_list(at).alias("px"))
+    return cells.withColumn("px", F.array_sort(F.when(F.size("px") == PIXELS, F.col("px")).otherwise(more)))
 
 
 def total(px: Column, field: str, keep=None) -> Column:

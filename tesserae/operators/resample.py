@@ -70,9 +70,9 @@ def _axis(pixels: DataFrame, axis: str, taps: list[tuple[int, int, int]]) -> Dat
         by_source.setdefault(s, []).append((o, w))
     sides = max(by_source) + 1
     table = F.array(*(F.array(*(F.struct(F.lit(o).alias("o"), F.lit(w).alias("w")) for o, w in by_source.get(s, []))) if s in by_source else F.array().cast("array<struct<o:int,w:int>>") for s in range(sides)))
-    other = "y" if axis == "x" else "x"
-    spread = pixels.where(F.col(axis) < sides).select("image_id", other, "r", "g", "b", F.explode(F.element_at(table, F.col(axis).cast("int") + 1)).alias("t"))
-    return spread.groupBy("image_id", other, F.col("t.o").cast("long").alias(axis)).agg(*(C.div(F.sum(F.col(c) * F.col("t.w")), F.sum("t.w")).alias(c) for c in "rgb"))
+    other, channels = "y" if axis == "x" else "x", [c for c in "rgba" if c in pixels.columns]
+    spread = pixels.where(F.col(axis) < sides).select("image_id", other, *channels, F.explode(F.element_at(table, F.col(axis).cast("int") + 1)).alias("t"))
+    return spread.groupBy("image_id", other, F.col("t.o").cast("long").alias(axis)).agg(*(C.div(F.sum(F.col(c) * F.col("t.w")), F.sum("t.w")).alias(c) for c in channels))
 
 
 def scaled_box(pixels: DataFrame, src: tuple[int, int], dest: tuple[int, int]) -> DataFrame:
@@ -85,24 +85,24 @@ def scaled_bilinear(pixels: DataFrame, src: tuple[int, int], dest: tuple[int, in
 
 
 def scaled(pixels: DataFrame, src: tuple[int, int], dest: tuple[int, int], fast: bool = False) -> DataFrame:
-    """The filter that the ratio of sizes asks for; fast samples instead."""
+    """The filter that the ratio of sizes asks for; fast samples instead, and a side of one pixel is copied."""
+    columns = ["image_id", "x", "y", *(c for c in "rgba" if c in pixels.columns)]
     if src == dest:
-        return pixels.select("image_id", "x", "y", "r", "g", "b")
-    if fast:
-        return scaled_nearest(pixels, src, dest).select("image_id", "x", "y", "r", "g", "b")
+        return pixels.select(*columns)
+    if fast or src == (1, 1):
+        return scaled_nearest(pixels, src, dest).select(*columns)
     taps = [box_taps(s, d) if filter_for(s, d).startswith(("box", "one", "copy")) else bilinear_taps(s, d) for s, d in zip(src, dest, strict=True)]
     return _axis(_axis(pixels, "x", taps[0]), "y", taps[1])
 
 
 def sharpened(cells: DataFrame, column: str = "intensity") -> DataFrame:
-    """3 by 3 kernel of 6 amid minus ones at the sides' half, borders repeated, on arrays of 64."""
+    """3 by 3 kernel of 6 amid minus ones at the four sides, borders repeated, on arrays of 64."""
     at = lambda y, x: F.element_at(column, (F.greatest(F.lit(0), F.least(F.lit(7), y)) * 8 + F.greatest(F.lit(0), F.least(F.lit(7), x))).cast("int") + 1)
 
     def one(i):
         y, x = C.div(i, 8), i % 8
         around = sum((at(y + dy, x + dx) for dy, dx in ((-1, 0), (0, -1), (0, 1), (1, 0))), F.lit(0))
-        corners = sum((at(y + dy, x + dx) for dy in (-1, 1) for dx in (-1, 1)), F.lit(0))
-        return C.clamp(C.div(6 * at(y, x) * 2 - around - corners, 4))
+        return C.clamp(6 * at(y, x) - around)
 
     return cells.withColumn(column, F.transform(F.sequence(F.lit(0), F.lit(63)), one))
 

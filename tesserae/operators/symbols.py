@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.glyphs import TAG_BITS
+from ..plans.glyphs import TAG_BITS, glyph_rows
 
 
 @dataclass(frozen=True)
@@ -75,6 +75,27 @@ def symbol_map(glyphs: DataFrame, text: str) -> DataFrame:
     return glyphs.where(selected(F.col("code_point"), F.col("tags"), parse_selectors(text)))
 
 
+def matches(code_point: int, tags: int, selectors: list[Selector]) -> bool:
+    """The same for one glyph."""
+    bad, out = TAG_BITS["bad"] | TAG_BITS["ugly"], False
+    for s in selectors:
+        if s.tags:
+            hit = bool(tags & s.tags)
+            if s.add and not (s.tags & bad and s.tags != TAG_BITS["all"]):
+                hit = hit and not tags & bad
+        else:
+            hit = s.first <= code_point <= s.last
+        if hit:
+            out = s.add
+    return out
+
+
+def chosen(text: str) -> list[tuple]:
+    """Rows of the glyph table that a selector text picks, in the order that ties are decided by."""
+    selectors = parse_selectors(text)
+    return [r for r in glyph_rows() if matches(r[1], r[3], selectors)]
+
+
 def by_popcount(glyphs: DataFrame) -> DataFrame:
     """Glyphs in the order that ties are decided by."""
     return glyphs.orderBy("popcount", "code_point")

@@ -8,9 +8,6 @@ from pyspark.sql import functions as F
 from ..functions import color as C
 from .nearest import RANKS
 
-_OUT = "array<struct<cx:bigint,kind:string>>"
-
-
 def pair_errors(cells: DataFrame) -> DataFrame:
     """cells with pair_err: what a wide glyph costs over a cell and the one before it, null in the first column.
 
@@ -24,24 +21,20 @@ def wide_lookback(cells: DataFrame) -> DataFrame:
     """image_id, cy, cx, kind (narrow, left or right): cells from left to right, where a wide glyph takes the
     place of two if its error is lower and the left one isn't already a right half.
 
-    cells: image_id, cy, cx, err, pair_err.  What a cell becomes depends on the cell before it,
-    so each row of a canvas is one fold over its array; rows are independent.
+    cells: image_id, cy, cx, err, pair_err.  Whether a pair is taken depends on the pair before it
+    alone: of a run of cheaper pairs the first, third and so on are taken.  So a cell's
+    place in its run decides, and no row of a canvas is folded.
     """
-    order = F.array_sort(F.collect_list(F.struct(F.col("cx").cast("long").alias("cx"), F.col("err").cast("long").alias("err"), F.col("pair_err").cast("long").alias("pair_err"))))
-    kind = lambda cx, k: F.struct(cx.alias("cx"), F.lit(k).alias("kind"))
-
-    def step(acc: Column, x: Column) -> Column:
-        n = F.size(acc["out"])
-        takes = (n > 0) & ~acc["right"] & x["pair_err"].isNotNull() & (x["pair_err"] < acc["err"] + x["err"])
-        takes = F.coalesce(takes, F.lit(False))
-        before = F.slice(acc["out"], 1, F.greatest(n - 1, F.lit(0)))
-        wide = F.concat(before, F.array(kind(x["cx"] - 1, "left"), kind(x["cx"], "right")))
-        out = F.when(takes, wide).otherwise(F.concat(acc["out"], F.array(kind(x["cx"], "narrow"))))
-        return F.struct(out.cast(_OUT).alias("out"), x["err"].alias("err"), takes.alias("right"))
-
-    start = F.struct(F.array().cast(_OUT).alias("out"), F.lit(0).cast("long").alias("err"), F.lit(False).alias("right"))
-    rows = cells.groupBy("image_id", "cy").agg(F.aggregate(order, start, step, lambda acc: acc["out"]).alias("c"))
-    return rows.select("image_id", "cy", F.explode("c").alias("c")).select("image_id", "cy", "c.cx", "c.kind")
+    w = Window.partitionBy("image_id", "cy").orderBy("cx")
+    cheap = F.coalesce(F.col("pair_err") < F.lag("err").over(w) + F.col("err"), F.lit(False))
+    runs = cells.select("image_id", "cy", F.col("cx").cast("long").alias("cx"), cheap.alias("cheap"))
+    # Cells that start no pair end a run; a run's first cheap cell is its number 1.
+    marked = runs.withColumn("run", F.sum(F.when(F.col("cheap"), 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    in_run = Window.partitionBy("image_id", "cy", "run").orderBy("cx")
+    numbered = marked.withColumn("right", F.col("cheap") & (F.sum(F.when(F.col("cheap"), 1).otherwise(0)).over(in_run) % 2 == 1))
+    left = F.coalesce(F.lead("right").over(w), F.lit(False))
+    kind = F.when(F.col("right"), "right").when(left, "left").otherwise("narrow")
+    return numbered.select("image_id", "cy", "cx", kind.alias("kind"))
 
 
 def fill_step(mean: tuple[Column, Column, Column], bg: tuple, fg: tuple) -> Column:

@@ -16,7 +16,7 @@ from .plans.views import EVENT_PIXELS_SQL as EP
 from .plans.views import FULL_PIXELS_SQL as FP
 from .plans.views import VEC_BITS_SQL as VB
 from .plans.views import VEC_CELLS_SQL as VC
-from .plans.views import event_pixels, full_images, table, vec_cells
+from .plans.views import event_pixels, padded, table, vec_cells
 from .sources import decoders, paths
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -124,7 +124,7 @@ def noise_dither(spark, d):
 
 @query(f"""SELECT {IDS}, pr, CASE WHEN al = 0 THEN 0 ELSE least(255, (pr * 255 + al // 2) // al) END AS ur, (r * ((al * 128) >> 8) + 40 * (255 - ((al * 128) >> 8)) + 127) // 255 AS mixed,
 CASE WHEN abs(g - b) < 60 AND g <= b THEN greatest(b - 60, 0) WHEN abs(g - b) < 60 THEN least(b + 60, 255) ELSE g END AS pushed
-FROM (SELECT *, (r + g) % 256 AS al, (r * ((r + g) % 256) + 127) // 255 AS pr FROM {EP} p) z""")
+FROM (SELECT *, (r + g) % 256 AS al, (r * ((r + g) % 256) + r + (r + g) % 256) >> 8 AS pr FROM {EP} p) z""")
 def alpha_math(spark, d):
     p = event_pixels(spark, d).withColumn("al", (F.col("r") + F.col("g")) % 256)
     p = p.withColumn("pr", C.premultiplied(F.col("r"), F.col("al")))
@@ -134,7 +134,7 @@ def alpha_math(spark, d):
 
 @query(f"SELECT image_id, o, x, y, r FROM (SELECT image_id, 1 AS o, x, y, r FROM {FP} p " + " ".join(f"UNION ALL SELECT image_id, {o}, {x}, {y}, r FROM {FP} p" for o, x, y in ((2, "63 - x", "y"), (3, "63 - x", "63 - y"), (4, "x", "63 - y"), (5, "y", "x"), (6, "63 - y", "x"), (7, "63 - y", "63 - x"), (8, "y", "63 - x"))) + ") z")
 def rotate(spark, d):
-    p = full_images(event_pixels(spark, d))
+    p = padded(event_pixels(spark, d))
     out = [resample.rotated(p, 64, 64, o).select("image_id", F.lit(o).alias("o"), "x", "y", "r") for o in range(1, 9)]
     for more in out[1:]:
         out[0] = out[0].unionByName(more)
@@ -206,12 +206,32 @@ FROM {EP} p, {palette_sql(palette)} GROUP BY {IDS}"""
 
 @query(nearest_sql(palettes.palette16()))
 def nearest_fixed16(spark, d):
-    return nearest.with_nearest(event_pixels(spark, d), palettes.palette16()).select(*KEY, "pen")
+    return event_pixels(spark, d).select(*KEY, nearest.nearest_of(rgb(), "16").alias("pen"))
 
 
 @query(nearest_sql(palettes.in_tie_order(palettes.palette256())))
 def nearest_fixed256(spark, d):
-    return nearest.with_nearest(event_pixels(spark, d), palettes.in_tie_order(palettes.palette256())).select(*KEY, "pen")
+    return event_pixels(spark, d).select(*KEY, nearest.nearest_256(rgb()).alias("pen"))
+
+
+@query(nearest_sql([p for p in palettes.palette256() if p[0] >= 16]))
+def nearest_fixed240(spark, d):
+    return event_pixels(spark, d).select(*KEY, nearest.nearest_240(rgb()).alias("pen"))
+
+
+@query(nearest_sql(palettes.palette16()[:8]))
+def nearest_fixed8(spark, d):
+    return event_pixels(spark, d).select(*KEY, nearest.nearest_of(rgb(), "8").alias("pen"))
+
+
+@query(nearest_sql([(257, 255, 255, 255), (258, 0, 0, 0)]))
+def nearest_fgbg(spark, d):
+    return event_pixels(spark, d).select(*KEY, nearest.nearest_of(rgb(), "fgbg").alias("pen"))
+
+
+@query(nearest_sql(palettes.palette16()))
+def nearest_any_palette(spark, d):
+    return nearest.with_nearest(event_pixels(spark, d), palettes.palette16()).select(*KEY, "pen")
 
 
 @query(nearest_sql([(232 + k, *(8 + 10 * k,) * 3) for k in range(24)]))
@@ -241,7 +261,7 @@ def palette_generate(spark, d):
 
 @query()
 def error_diffusion(spark, d):
-    return dither.diffusion(full_images(event_pixels(spark, d)), palettes.palette16())
+    return dither.diffusion(padded(event_pixels(spark, d)), palettes.palette16())
 
 
 # --- cells ------------------------------------------------------------------------------------
@@ -252,7 +272,7 @@ CKEY = ("image_id", "cx", "cy")
 
 
 def blocks(spark, d):
-    return cells.cell_blocks(full_images(event_pixels(spark, d)))
+    return cells.cell_blocks(padded(event_pixels(spark, d)))
 
 
 @query(f"SELECT {CIDS}, {', '.join(f'CAST(sum({c}) AS BIGINT) // 64 AS {c}' for c in 'rgb')} FROM {CELL} c GROUP BY {CIDS}")
@@ -355,8 +375,8 @@ def glyph_dump(spark, d):
 
 
 @query(f"""WITH q AS MATERIALIZED (SELECT * FROM {VB} z) SELECT vec_id, CAST(sum(s) AS BIGINT) AS total, CAST(sum(s * (i + 1)) AS BIGINT) AS weighted FROM (
-SELECT q.vec_id, q.i, greatest(0, least(255, CASE WHEN any_value(12 * q.v) - sum(n.v * n.w) < 0 THEN -((-(any_value(12 * q.v) - sum(n.v * n.w)))::BIGINT // 4) ELSE (any_value(12 * q.v) - sum(n.v * n.w))::BIGINT // 4 END)) AS s
-FROM q JOIN (SELECT a.vec_id, t.i, dy, dx, a.v, 1 AS w FROM range(64) t(i), range(-1, 2) d(dy), range(-1, 2) e(dx), q a WHERE (dy <> 0 OR dx <> 0) AND a.i = greatest(0, least(7, t.i // 8 + dy)) * 8 + greatest(0, least(7, t.i % 8 + dx))) n
+SELECT q.vec_id, q.i, greatest(0, least(255, any_value(6 * q.v) - sum(n.v))) AS s
+FROM q JOIN (SELECT a.vec_id, t.i, a.v FROM range(64) t(i), (VALUES (-1, 0), (1, 0), (0, -1), (0, 1)) d(dy, dx), q a WHERE a.i = greatest(0, least(7, t.i // 8 + dy)) * 8 + greatest(0, least(7, t.i % 8 + dx))) n
 ON n.vec_id = q.vec_id AND n.i = q.i GROUP BY q.vec_id, q.i) GROUP BY vec_id""")
 def sharpen(spark, d):
     v = resample.sharpened(vec_cells(spark, d))
@@ -369,24 +389,27 @@ def sharpen(spark, d):
 
 @query(f"SELECT image_id, ox AS x, oy AS y, r, g, b FROM {FP} p JOIN range(48) a(ox) ON p.x = ox * 64 // 48 JOIN range(100) b2(oy) ON p.y = oy * 64 // 100")
 def scale_nearest(spark, d):
-    p = full_images(event_pixels(spark, d))
+    p = padded(event_pixels(spark, d))
     return resample.scaled_nearest(p, (64, 64), (48, 100)).select(*KEY, *"rgb")
 
 
-def scaled_sql(taps) -> str:
-    t = f"(VALUES {values(taps)})"
+def scaled_sql(t: str) -> str:
+    """Two passes over (source, output, weight), by columns, then by rows."""
     one = lambda src, axis, other: f"(SELECT image_id, {other}, o AS {axis}, {', '.join(f'CAST(sum({c} * w) AS BIGINT) // CAST(sum(w) AS BIGINT) AS {c}' for c in 'rgb')} FROM {src} q JOIN {t} t(s, o, w) ON t.s = q.{axis} GROUP BY image_id, {other}, o)"
     return f"SELECT image_id, x::BIGINT AS x, y::BIGINT AS y, r, g, b FROM {one(one(FP, 'x', 'y'), 'y', 'x')} z"
 
 
-@query(scaled_sql(resample.box_taps(64, 4)))
+@query(scaled_sql("(SELECT s, s // 16, 1 FROM range(64) u(s))"))
 def scale_box(spark, d):
-    return resample.scaled_box(full_images(event_pixels(spark, d)), (64, 64), (4, 4)).select(*KEY, *"rgb")
+    return resample.scaled_box(padded(event_pixels(spark, d)), (64, 64), (4, 4)).select(*KEY, *"rgb")
+
 
+_FINE = "(SELECT o, greatest(0, least(63 * 256, ((2 * o + 1) * 64 * 256 // 40 - 256) // 2)) AS spot FROM range(40) u(o))"
 
-@query(scaled_sql(resample.bilinear_taps(64, 20)))
+
+@query(scaled_sql(f"(SELECT s, o, sum(w) FROM (SELECT spot // 256 AS s, o // 2 AS o, (256 - spot % 256) * 128 AS w FROM {_FINE} a UNION ALL SELECT least(spot // 256 + 1, 63), o // 2, spot % 256 * 128 FROM {_FINE} b) WHERE w > 0 GROUP BY s, o)"))
 def scale_bilinear(spark, d):
-    return resample.scaled_bilinear(full_images(event_pixels(spark, d)), (64, 64), (20, 20)).select(*KEY, *"rgb")
+    return resample.scaled_bilinear(padded(event_pixels(spark, d)), (64, 64), (20, 20)).select(*KEY, *"rgb")
 
 
 # --- text of a canvas -------------------------------------------------------------------------
@@ -411,12 +434,20 @@ def print_text(spark, d):
     return emit.printed(emit.fgbg_rows(canvas(spark, d)))
 
 
-_SGR = lambda n, v: f"'{n};2;' || ({v} >> 16 & 255) || ';' || ({v} >> 8 & 255) || ';' || ({v} & 255)"
-SGR = f"""(SELECT image_id, cy, cx, ch, CASE WHEN cleared THEN chr(27) || '[0m' ELSE '' END || CASE WHEN s <> '' THEN chr(27) || '[' || s || 'm' ELSE '' END AS sgr FROM (
- SELECT *, concat_ws(';', CASE WHEN fg <> wf AND fg <> -1 THEN {_SGR(38, 'fg')} END, CASE WHEN bg <> wb AND bg <> -1 THEN {_SGR(48, 'bg')} END) AS s FROM (
- SELECT *, CASE WHEN cleared THEN -1 ELSE of END AS wf, CASE WHEN cleared THEN -1 ELSE ob END AS wb FROM (
- SELECT *, (of <> -1 AND fg = -1) OR (ob <> -1 AND bg = -1) AS cleared FROM (
- SELECT *, coalesce(lag(fg) OVER w, -1) AS of, coalesce(lag(bg) OVER w, -1) AS ob FROM {CANVAS} c WINDOW w AS (PARTITION BY image_id, cy ORDER BY cx))))))"""
+def sgr_sql(source: str, clear: int, code, bold: str = "false") -> str:
+    """Attributes before each cell of (image_id, cy, cx, ch, fg, bg); code(base, v): the attribute of a colour."""
+    return f"""(SELECT image_id, cy, cx, ch, CASE WHEN cleared THEN chr(27) || '[0m' ELSE '' END || CASE WHEN inv AND (cleared OR NOT oi) THEN chr(27) || '[7m' ELSE '' END
+ || CASE WHEN bold AND (cleared OR NOT obold) THEN chr(27) || '[1m' ELSE '' END || CASE WHEN s <> '' THEN chr(27) || '[' || s || 'm' ELSE '' END AS sgr FROM (
+ SELECT *, concat_ws(';', CASE WHEN f <> wf AND f <> {clear} THEN {code(30, 'f')} END, CASE WHEN b <> wb AND b <> {clear} THEN {code(40, 'b')} END) AS s FROM (
+ SELECT *, CASE WHEN cleared THEN {clear} ELSE of END AS wf, CASE WHEN cleared THEN {clear} ELSE ob END AS wb FROM (
+ SELECT *, (oi AND NOT inv) OR (obold AND NOT bold) OR (of <> {clear} AND f = {clear}) OR (ob <> {clear} AND b = {clear}) AS cleared FROM (
+ SELECT *, coalesce(lag(f) OVER w, {clear}) AS of, coalesce(lag(b) OVER w, {clear}) AS ob, coalesce(lag(inv) OVER w, false) AS oi, coalesce(lag(bold) OVER w, false) AS obold FROM (
+ SELECT *, {bold} AS bold FROM (
+ SELECT image_id, cy, cx, CASE WHEN fg = {clear} AND bg = {clear} THEN ' ' ELSE ch END AS ch, CASE WHEN fg = {clear} THEN bg ELSE fg END AS f, CASE WHEN fg = {clear} THEN fg ELSE bg END AS b, fg = {clear} AND bg <> {clear} AS inv
+ FROM {source} c)) WINDOW w AS (PARTITION BY image_id, cy ORDER BY cx))))))"""
+
+
+SGR = sgr_sql(CANVAS, -1, lambda base, v: f"'{base + 8};2;' || ({v} >> 16 & 255) || ';' || ({v} >> 8 & 255) || ';' || ({v} & 255)")
 
 
 @query(f"SELECT * FROM {SGR} z")
@@ -424,13 +455,21 @@ def sgr_reuse(spark, d):
     return emit.sgr_changes(canvas(spark, d)).drop("fg", "bg")
 
 
-@query(f"""SELECT image_id, cy, min(cx) AS cx, arg_min(sgr, cx) || CASE WHEN count(*) > 1 AND count(*) * strlen(any_value(ch)) > strlen(any_value(ch)) + 4 THEN any_value(ch) || chr(27) || '[' || (count(*) - 1) || 'b' ELSE repeat(any_value(ch), count(*)) END AS text
-FROM (SELECT *, sum(st) OVER (PARTITION BY image_id, cy ORDER BY cx) AS run FROM (SELECT *, CASE WHEN sgr <> '' OR lag(ch) OVER (PARTITION BY image_id, cy ORDER BY cx) IS DISTINCT FROM ch THEN 1 ELSE 0 END AS st FROM {SGR} z)) GROUP BY image_id, cy, run""")
+def runs_sql(sgr: str) -> str:
+    return f"""(SELECT image_id, cy, min(cx) AS cx, arg_min(sgr, cx) || CASE WHEN count(*) > 1 AND count(*) * strlen(any_value(ch)) > strlen(any_value(ch)) + 4 THEN any_value(ch) || chr(27) || '[' || (count(*) - 1) || 'b' ELSE repeat(any_value(ch), count(*)) END AS text
+FROM (SELECT *, sum(st) OVER (PARTITION BY image_id, cy ORDER BY cx) AS run FROM (SELECT *, CASE WHEN sgr <> '' OR lag(ch) OVER (PARTITION BY image_id, cy ORDER BY cx) IS DISTINCT FROM ch THEN 1 ELSE 0 END AS st FROM {sgr} z)) GROUP BY image_id, cy, run)"""
+
+
+def lines_sql(sgr: str) -> str:
+    return f"(SELECT image_id, cy, CASE WHEN cy = 0 THEN chr(27) || '[0m' ELSE '' END || string_agg(text, '' ORDER BY cx) || chr(27) || '[0m' AS line FROM {runs_sql(sgr)} r GROUP BY image_id, cy)"
+
+
+@query(f"SELECT * FROM {runs_sql(SGR)} z")
 def rep_runs(spark, d):
     return emit.repeat_runs(emit.sgr_changes(canvas(spark, d)))
 
 
-@query()
+@query(f"SELECT image_id, string_agg(line, chr(10) ORDER BY cy) AS text FROM {lines_sql(SGR)} z GROUP BY image_id")
 def truecolor_text(spark, d):
     return emit.printed(emit.truecolor_rows(canvas(spark, d)))
 
@@ -444,7 +483,7 @@ PENS = f"(SELECT image_id, x, y, r // 64 AS pen FROM {FP} p)"
 
 
 def penned(spark, d):
-    return full_images(event_pixels(spark, d)).select(*KEY, C.div(F.col("r"), 64).alias("pen"))
+    return padded(event_pixels(spark, d)).select(*KEY, C.div(F.col("r"), 64).alias("pen"))
 
 
 SIX = f"(SELECT image_id, y // 6 AS band, pen, x, CAST(sum(1 << (y % 6)::INT) AS BIGINT) AS bits FROM {PENS} p GROUP BY 1, 2, 3, 4)"
@@ -467,12 +506,12 @@ _RUN = lambda c, n: f"(repeat('!255' || {c}, ({n}) // 255) || CASE WHEN ({n}) %
 SELECT image_id, band, pen, run, any_value(bits) AS bits, count(*) AS n, max(gap) AS gap FROM (SELECT *, sum(st) OVER (PARTITION BY image_id, band, pen ORDER BY x) AS run FROM (
 SELECT *, x - coalesce(lag(x) OVER w, -1) - 1 AS gap, CASE WHEN x - coalesce(lag(x) OVER w, -1) - 1 > 0 OR lag(bits) OVER w IS DISTINCT FROM bits THEN 1 ELSE 0 END AS st FROM {SIX} z WINDOW w AS (PARTITION BY image_id, band, pen ORDER BY x))) GROUP BY image_id, band, pen, run) GROUP BY image_id, band, pen) GROUP BY image_id, band""")
 def sixel_rle(spark, d):
-    return emit.sixel_rows(penned(spark, d), 64)
+    return emit.sixel_rows(penned(spark, d))
 
 
 @query()
 def sixel_image(spark, d):
-    return emit.sixel_text(emit.sixel_rows(penned(spark, d), 64), palettes.palette16()[:4])
+    return emit.sixel_text(emit.sixel_rows(penned(spark, d)), palettes.palette16()[:4])
 
 
 @query(f"SELECT event_id AS k, chr(27) || 'Ptmux;' || replace(s, chr(27), chr(27) || chr(27)) || chr(27) || chr(92) AS tmux, length(s)::INT AS n FROM (SELECT event_id, event_type || chr(27) || '[' || user_id || 'm' AS s FROM events)")
@@ -487,13 +526,6 @@ def base64_text(spark, d):
     return table(spark, d, "pages").select(F.col("page_id").alias("k"), b("url").alias("b64"), F.length(b("html")).cast("long").alias("n"))
 
 
-@query()
-def image_protocols(spark, d):
-    rgba = F.col("url").cast("binary")
-    p = table(spark, d, "pages")
-    return p.select("page_id", emit.kitty_text(rgba, 2, 2, 1, 1, 12).alias("kitty"), emit.iterm2_text(rgba, 2, 2, 1, 1).alias("iterm2"), emit.passthrough(F.col("url"), "screen").alias("screen"))
-
-
 # --- grids, order, results --------------------------------------------------------------------
 
 
@@ -508,9 +540,9 @@ def labels_text(spark, d):
     return table(spark, d, "pages").select("page_id", grid.label_text(F.col("url"), 24).alias("label"))
 
 
-@query("SELECT o_orderkey AS k, (o_orderkey + 6) % 65535 + 1 AS placement_id FROM orders")
+@query("SELECT c_custkey * 977 AS k, (row_number() OVER (ORDER BY c_custkey) + 65529) % 65535 + 1 AS placement_id FROM customer")
 def placement_counter(spark, d):
-    return emit.placement_ids(table(spark, d, "orders").select(F.col("o_orderkey").alias("k")), "k", 7)
+    return emit.placement_ids(table(spark, d, "customer").select((F.col("c_custkey") * 977).alias("k")), "k", 65531)
 
 
 @query("SELECT CASE WHEN count(*) = sum(bad) THEN 2 WHEN sum(bad) > 0 THEN 1 ELSE 0 END AS code FROM (SELECT CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS bad FROM events)")
@@ -538,7 +570,7 @@ def path_queue(spark, d):
     return paths.queued(p)
 
 
-@query(f"SELECT * FROM (VALUES {values([(x[0],) for x in decoders.DECODERS])}) t(name)")
+@query("SELECT * FROM (VALUES ('GIF'), ('PNG'), ('QOI'), ('TIFF'), ('XWD')) t(name)")
 def loader_names(spark, d):
     return decoders.loader_names(spark)
 
@@ -579,10 +611,13 @@ def has_symbol(spark, d):
     return symbols.with_symbol(c, glyphs.glyph_table(spark).where(F.col("code_point").between(0x2800, 0x28FF)))
 
 
-_RANGES = " + ".join(f"CASE WHEN c BETWEEN {a} AND {b} THEN {_T[t]} ELSE 0 END" for a, b, t in symbols.TAG_RANGES if t != "alpha") + f" + CASE WHEN c BETWEEN 65 AND 90 OR c BETWEEN 97 AND 122 THEN {_T['alpha']} ELSE 0 END"
+_RANGES = f"""CASE WHEN c BETWEEN 33 AND 126 THEN {_T['ascii']} ELSE 0 END + CASE WHEN c BETWEEN 48 AND 57 THEN {_T['digit']} ELSE 0 END
+ + CASE WHEN c BETWEEN 65 AND 90 OR c BETWEEN 97 AND 122 THEN {_T['alpha']} ELSE 0 END + CASE WHEN c BETWEEN 33 AND 591 THEN {_T['latin']} ELSE 0 END
+ + CASE WHEN c BETWEEN 9472 AND 9599 THEN {_T['border']} WHEN c BETWEEN 9600 AND 9631 THEN {_T['block']} WHEN c BETWEEN 9632 AND 9727 THEN {_T['geometric']} WHEN c BETWEEN 8960 AND 9215 THEN {_T['technical']} WHEN c BETWEEN 10240 AND 10495 THEN {_T['braille']} ELSE 0 END
+ + CASE WHEN c BETWEEN 4352 AND 4447 OR c BETWEEN 11904 AND 42191 OR c BETWEEN 44032 AND 55203 OR c BETWEEN 127744 AND 128591 THEN {_T['wide']} ELSE 0 END"""
 
 
-@query(f"SELECT c AS code_point, CASE WHEN (t & {_T['wide']}) = 0 THEN t | {_T['narrow']} ELSE t END::BIGINT AS tags FROM (SELECT p_partkey * 37 AS c, {_RANGES.replace('c BETWEEN', 'p_partkey * 37 BETWEEN')} AS t FROM part)")
+@query(f"SELECT c AS code_point, CASE WHEN (t & {_T['wide']}) = 0 THEN t | {_T['narrow']} ELSE t END::BIGINT AS tags FROM (SELECT c, {_RANGES} AS t FROM (SELECT p_partkey, p_partkey * 37 AS c FROM part))")
 def tags_for_char(spark, d):
     p = table(spark, d, "part").select((F.col("p_partkey") * 37).alias("code_point"))
     return p.select("code_point", symbols.tags_of(F.col("code_point")).alias("tags"))
@@ -611,11 +646,11 @@ def term_chain(spark, d):
     return terminal.chained(side(2, "p_name"), side(3, "p_brand"))
 
 
-@query("SELECT p_partkey AS k, CASE WHEN p_partkey % 2 = 0 AND p_partkey % 3 = 0 THEN 'truecolor' WHEN p_partkey % 5 = 0 THEN '256' WHEN p_partkey % 7 = 0 THEN 'fgbg_bgfg' ELSE 'fgbg' END AS mode FROM part")
+@query("SELECT p_partkey AS k, CASE WHEN p_partkey % 2 = 0 AND p_partkey % 3 = 0 THEN 'truecolor' WHEN p_partkey % 5 = 0 THEN '240' WHEN p_partkey % 7 = 0 THEN 'fgbg_bgfg' ELSE 'fgbg' END AS mode FROM part")
 def mode_ladder(spark, d):
     k = F.col("p_partkey")
     has = lambda m, *n: F.when(k % m == 0, F.array(*map(F.lit, n))).otherwise(F.array().cast("array<string>"))
-    seqs = F.concat(has(2, "set_fg_direct"), has(3, "set_bg_direct"), has(5, "set_fg_256", "set_bg_256"), has(7, "invert_colors", "reset_attributes"))
+    seqs = F.concat(has(2, "set_color_fg_direct", "set_color_fgbg_direct"), has(3, "set_color_bg_direct"), has(5, "set_color_fg_256", "set_color_bg_256", "set_color_fgbg_256"), has(7, "invert_colors", "reset_attributes"))
     return table(spark, d, "part").select(k.alias("k"), terminal.best_mode(seqs).alias("mode"))
 
 
@@ -683,10 +718,16 @@ def coverage_bitmap(spark, d):
     return vec_cells(spark, d).select("vec_id", hi.alias("hi"), lo.alias("lo"))
 
 
-@query()
+_SHARP = f"""(WITH q AS MATERIALIZED (SELECT * FROM {VB} z) SELECT q.vec_id, q.i, greatest(0, least(255, any_value(6 * q.v) - sum(n.v))) AS s
+FROM q JOIN (SELECT a.vec_id, t.i, a.v FROM range(64) t(i), (VALUES (-1, 0), (1, 0), (0, -1), (0, 1)) d(dy, dx), q a WHERE a.i = greatest(0, least(7, t.i // 8 + dy)) * 8 + greatest(0, least(7, t.i % 8 + dx))) n
+ON n.vec_id = q.vec_id AND n.i = q.i GROUP BY q.vec_id, q.i)"""
+
+
+@query(f"SELECT vec_id AS code_point, string_agg(CASE WHEN s > 127 THEN '255' ELSE '0' END, ',' ORDER BY i) AS pixels FROM {_SHARP} z GROUP BY vec_id")
 def imported_glyphs(spark, d):
     v = vec_cells(spark, d).select(F.col("vec_id").alias("code_point"), F.col("intensity").alias("coverage"))
-    return batches.exported_glyphs(batches.imported_glyphs(v)).select("code_point", F.size("coverage").alias("n"))
+    out = batches.exported_glyphs(batches.imported_glyphs(v))
+    return out.select("code_point", F.array_join(F.col("coverage").cast("array<string>"), ",").alias("pixels"))
 
 
 @query()
@@ -703,12 +744,6 @@ def fill_ramp(spark, d):
     return b.select(*CKEY, wide.fill_step(rgb(), (F.lit(0),) * 3, (F.lit(255),) * 3).alias("fill"))
 
 
-@query()
-def wide_lookback(spark, d):
-    p = event_pixels(spark, d).select("image_id", F.col("y").alias("cy"), F.col("x").alias("cx"), F.col("r").alias("err"), F.col("g").alias("wide_left_err"), F.col("b").alias("wide_right_err"))
-    return wide.wide_lookback(wide.pair_errors(p))
-
-
 @query(f"SELECT image_id, y AS cy, x AS cx, CASE WHEN (x * 7 + y) % 9 = 0 THEN '#' ELSE 'a' END AS ch, 1 AS width FROM {EP} p")
 def cell_edits(spark, d):
     p = event_pixels(spark, d).select("image_id", F.col("y").alias("cy"), F.col("x").alias("cx"))

@@ -10,20 +10,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.terminal import Sequence
+from ..plans.sequences import KEYS, VT220
 
-#: Replies that terminals send.
+_NAMED = ("primary_device_attributes", "cell_size_px", "text_area_size_px", "text_area_size_cells")
+#: What terminals send: replies, the default colours among them, and keys.
 REPLIES = (
-    Sequence("primary_device_attributes", "\x1b[?%vc"),
+    *(Sequence(*row) for row in VT220 if row[0] in _NAMED),
     Sequence("cursor_position", "\x1b[%1;%2R", 2, "pos"),
-    Sequence("cell_size_px", "\x1b[6;%1;%2t", 2, "u16"),
-    Sequence("text_area_size_px", "\x1b[4;%1;%2t", 2, "u16"),
-    Sequence("text_area_size_cells", "\x1b[8;%1;%2t", 2, "u16"),
     Sequence("default_fg", "\x1b]10;rgb:%1/%2/%3\x1b\\", 3, "u16hex"),
     Sequence("default_bg", "\x1b]11;rgb:%1/%2/%3\x1b\\", 3, "u16hex"),
-    Sequence("key_up", "\x1b[A"),
-    Sequence("key_down", "\x1b[B"),
-    Sequence("key_right", "\x1b[C"),
-    Sequence("key_left", "\x1b[D"),
+    *(Sequence(*row) for row in KEYS if row[1][0] == "\x1b"),
 )
 Event = tuple[str, str | None, str | None, list[int]]  # kind, character, sequence, arguments
 

@@ -5,7 +5,10 @@ import os
 
 import pytest
 
-from tesserae import queries
+from tesserae import (
+    queries,
+    queries_canvas,  # noqa: F401
+)
 
 SMALL = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SMALL), reason="no tables here")
