@@ -136,7 +136,7 @@ def glyph_tags(spark, d):
 _SETS = (("block+border", ""), ("[.Q]", ""), ("[.Q]", "[ ]"), ("[ab]", "[.M]"), ("braille", ""), ("[.]", "[█]"), ("sextant", ""))
 
 
-@query("SELECT * FROM (VALUES (0, 9480, 9608), (1, 46, 0), (2, 32, 0), (3, 46, 0), (4, 10240, 10495), (5, 46, 9608), (6, 129795, 129844)) t(k, blank, solid)")
+@query("SELECT * FROM (VALUES (0, 9480, 9608), (1, 46, 0), (2, 32, 0), (3, 46, 0), (4, 10240, 10495), (5, 9608, 9608), (6, 129795, 129844)) t(k, blank, solid)")
 def blank_solid(spark, d):
     rows = []
     for k, (a, b) in enumerate(_SETS):
