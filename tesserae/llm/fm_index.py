@@ -1,4 +1,9 @@
-"""An FM-index over word sequences: suffix order, BWT and a wavelet tree of bitmaps."""
+"""An FM-index over word sequences: suffix order, BWT and a wavelet tree of bitmaps.
+
+Backward search extends a match by the word before it.  Matching statistics of a stream
+come from one extension a word: where a match is as long as is asked for, it is first
+cut by its last word, to the interval of the suffixes that share the rest.
+"""
 
 from __future__ import annotations
 
@@ -13,7 +18,7 @@ class Bitmap:
         padded = np.zeros(-(-len(bits) // 64) * 8 + 8, np.uint8)
         padded[: len(raw)] = raw
         self.words = padded.view(np.uint64)
-        self.before = np.concatenate(([0], np.cumsum(np.bitwise_count(self.words), dtype=np.int64)[:-1]))
+        self.before = np.concatenate(([0], np.cumsum(np.bitwise_count(self.words), dtype=np.int64)[:-1])).astype(np.int32)
 
     def rank(self, at: np.ndarray) -> np.ndarray:
         """Set bits before each position."""
@@ -43,8 +48,12 @@ class WaveletTree:
         return low - start, high - start
 
 
+LANE = 64  # windows that a stream is cut into
+
+
 class FMIndex:
-    """Sequences of symbols from 1 on; `find` gives suffix intervals of patterns within one sequence."""
+    """Sequences of symbols from 1 on; `find` gives suffix intervals of patterns within one sequence,
+    and `matches` those of all windows of the sequences themselves, each streamed once."""
 
     def __init__(self, sequences: list[np.ndarray], n_symbols: int):
         count = len(sequences)
@@ -59,7 +68,8 @@ class FMIndex:
         order_of = text + count - 1
         order_of[ends] = np.arange(count)  # ends are symbols of their own, so suffixes differ early
         suffix = self._suffixes(order_of)
-        self.owner = owner[suffix]
+        self.text, self.lengths, self.suffix, self.named = text, lengths - 1, suffix.astype(np.int32), order_of
+        self.owner = owner[suffix].astype(np.int32)
         self.tree = WaveletTree(text[suffix - 1], n_symbols + 1)
         counts = np.bincount(text, minlength=n_symbols + 1)
         self.first = np.concatenate(([0], np.cumsum(counts)))
@@ -96,6 +106,52 @@ class FMIndex:
             alive = alive[b - a > 1]
         return low, high
 
+    def _groups(self, depth: int) -> tuple[np.ndarray, np.ndarray]:
+        """For every place in suffix order, where the suffixes that agree with it in `depth` symbols begin and end."""
+        n = len(self.text)
+        head = np.zeros(n, bool)
+        head[:1] = True
+        a, b = self.suffix[:-1].astype(np.int64), self.suffix[1:].astype(np.int64)
+        for k in range(depth):
+            head[1:] |= self.named[np.minimum(a + k, n - 1)] != self.named[np.minimum(b + k, n - 1)]
+        at = np.flatnonzero(head)
+        group = np.cumsum(head) - 1
+        return at[group], np.append(at[1:], n)[group]
+
+    def matches(self, window: int) -> tuple[np.ndarray, np.ndarray]:
+        """The suffix interval of every window of every sequence, in order, by matching statistics capped at
+        the window: a stream runs backward through the index, keeps its interval and its length,
+        and before a further symbol lets go of the last one where the length is reached.
+
+        Streams run side by side; long ones are cut into lanes that overlap by all but one word of a window.
+        """
+        counts = np.maximum(self.lengths - window + 1, 0)
+        base = np.concatenate(([0], np.cumsum(counts)))
+        lanes = -(-counts // LANE)
+        seq = np.repeat(np.arange(len(counts)), lanes)
+        turn = np.arange(len(seq)) - np.repeat(np.cumsum(lanes) - lanes, lanes)
+        first = turn * LANE  # the lane's first window within its sequence
+        size = np.minimum(counts[seq] - first, LANE) + window - 1  # its words
+        begin = self.starts[seq] + first
+        out_low, out_high = np.zeros(base[-1], np.int64), np.zeros(base[-1], np.int64)
+        if not len(seq):
+            return out_low, out_high
+        shorter, shorter_end = self._groups(window - 1)
+        order = np.argsort(-size, kind="stable")
+        begin, size, slot = begin[order], size[order], (base[seq] + first)[order]
+        low, high = np.zeros(len(order), np.int64), np.full(len(order), len(self.text), np.int64)
+        for step in range(int(size[0])):
+            live = int(np.searchsorted(-size, -step, side="left"))  # lanes with a word left
+            if step >= window:
+                low[:live], high[:live] = shorter[low[:live]], shorter_end[low[:live]]
+            place = size[:live] - 1 - step
+            symbol = self.text[begin[:live] + place]
+            a, b = self.tree.narrow(symbol, low[:live], high[:live])
+            low[:live], high[:live] = self.first[symbol] + a, self.first[symbol] + b
+            if step >= window - 1:
+                out_low[slot[:live] + place], out_high[slot[:live] + place] = low[:live], high[:live]
+        return out_low, out_high
+
     def least(self, low: np.ndarray, high: np.ndarray, values: np.ndarray) -> np.ndarray:
         """The smallest value of the sequences whose suffixes lie in each interval."""
         row = np.append(values[self.owner], np.iinfo(np.int64).max)

@@ -4,8 +4,9 @@ A passage is a window of words.  Of the shorter grams inside it, the one with th
 smallest hash is its anchor; equal windows have equal anchors.  Anchors that only one
 document holds rule their windows out.  The runs of windows on the other anchors
 (segments) are dealt to shards by anchor.  Each shard builds an FM-index of its
-distinct segments and finds every window by backward search; the smallest doc_id in
-the window's suffix interval says whether an earlier document holds it.  Windows on an
+distinct segments and streams each through it once by backward search, which keeps the
+interval of its matching statistics; where they reach a window, the smallest doc_id in
+the interval says whether an earlier document holds it.  Windows on an
 anchor that very many documents hold are dealt one by one, by their own hash, each
 distinct one once, and their answers are joined back, so that no shard holds them all.
 Copies of one sequence of words are one text with the smallest of their doc_ids.
@@ -15,7 +16,8 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
-from itertools import compress
+from itertools import compress, groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +30,8 @@ from .fm_index import FMIndex
 
 WINDOW, GRAM = 13, 5
 HOT = 5_000
-SHARD_WORDS = 300_000
+SHARD_WORDS = 300_000  # of one index
+SHARD_BYTES = 4 << 20  # of compressed texts, on average
 POSTINGS = 1 << 20
 BLOB_BYTES = 1 << 24
 
@@ -190,10 +193,7 @@ def earliest(segments: list[bytes], least: np.ndarray, window: int) -> tuple[np.
     sizes = np.array([len(s) for s in split], np.int64)
     ends = np.cumsum(sizes)
     index = FMIndex(np.split(symbols, ends[:-1]), len(names))
-    first = np.arange(len(symbols))
-    inside = first + window <= np.repeat(ends, sizes)
-    patterns = symbols[first[inside][:, None] + np.arange(window)]
-    low, high = index.find(patterns)
+    low, high = index.matches(window)
     return index.least(low, high, least), np.cumsum(sizes - window + 1) - (sizes - window + 1)
 
 
@@ -256,6 +256,10 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot
     candidates = small.hint("merge").join(hits, (F.col("doc_id") == F.col("rep")) & (F.col("content") == F.col("named")))
     candidates = saved(candidates.select("doc_id", "row", "zipped", "shared", "hot"), "dedup-candidates")
 
+    # As many shards as hold some SHARD_BYTES of compressed texts each, so that a shard's size is bounded.
+    held_bytes = candidates.agg(F.sum(F.octet_length("zipped"))).first()[0] or 0
+    shards_n = max(parts, -(-held_bytes // SHARD_BYTES))
+
     def cut(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, _Segments]:
         ids, row = (np.array(batch.column(k).to_pylist(), np.int64) for k in (0, 1))
         lists = [[np.array(x, np.int64) for x in batch.column(k).to_pylist()] for k in (3, 4)]
@@ -268,7 +272,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot
 
         def flush() -> pa.RecordBatch:
             table = pa.concat_tables(held).combine_chunks()
-            shard = (H.mix(table.column("key").to_numpy().view(np.uint64)) % np.uint64(parts)).astype(np.int64)
+            shard = (H.mix(table.column("key").to_numpy().view(np.uint64)) % np.uint64(shards_n)).astype(np.int64)
             order = np.lexsort((table.column("key").to_numpy(), shard))
             table, shard = table.take(pa.array(order)), shard[order]
             at = np.flatnonzero(np.append(True, shard[1:] != shard[:-1]))
@@ -294,27 +298,28 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot
             yield flush()
 
     def search_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Index and search the segments of one partition's shards, some keys at a time."""
-        tables: dict[int, list[bytes]] = {}
-        for batch in batches:
-            for shard, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                tables.setdefault(shard, []).append(blob)
-        for blobs in tables.values():
-            # Keys are dealt to passes by hash, so that a pass unpacks few words at a time.
-            words = sum(_words_in(b) for b in blobs)
-            passes = max(1, -(-words // SHARD_WORDS))
-            kept: list[list[pa.Table]] = [[] for _ in range(passes)]
+        """Index and search the segments of each shard; rows come sorted by shard, and one is held at a time."""
+        rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        for _, own in groupby(rows, key=itemgetter(0)):
+            blobs = [blob for _, blob, _ in own]
+            yield from searched(blobs)
+
+    def searched(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
+        # Keys are dealt to passes by hash, and each pass unpacks the blobs anew, so that it holds its own words alone.
+        words = sum(_words_in(b) for b in blobs)
+        passes = max(1, -(-words // SHARD_WORDS))
+        for p in range(passes):
+            kept = []
             for blob in blobs:
                 t = pa.ipc.open_stream(_unzip(blob)).read_all()
                 turn = ((H.mix(t.column("key").to_numpy().view(np.uint64)) >> np.uint64(40)) % np.uint64(passes)).astype(np.int64)
-                for p in range(passes):
-                    kept[p].append(t.filter(pa.array(turn == p)))
-            for p in range(passes):
-                part, kept[p] = pa.concat_tables(kept[p]).combine_chunks(), []
-                if len(part):
-                    yield _answers(part, window)
-
-    shards = candidates.mapInArrow(to_shards, "shard long, blob binary").repartition(parts, "shard")
+                kept.append(t.filter(pa.array(turn == p)))
+            part = pa.concat_tables(kept).combine_chunks()
+            if len(part):
+                yield _answers(part, window)
+
+    shards = candidates.mapInArrow(to_shards, "shard long, blob binary").withColumn("spot", F.xxhash64("blob"))
+    shards = shards.repartition(parts, "shard").sortWithinPartitions("shard", "spot")
     gone = saved(shards.mapInArrow(search_shard, GONE), "dedup-windows")
 
     def hot_windows(with_words: bool) -> Callable:

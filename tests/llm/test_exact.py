@@ -408,6 +408,22 @@ def test_fm_index_finds_every_window():
         assert m == min(values[k] for k in where)
 
 
+@pytest.mark.parametrize("window,size", [(4, 30), (13, 300), (2, 5), (1, 3)])
+def test_streams_through_the_index_match_every_window(window, size):
+    r = np.random.default_rng(window)
+    sequences = [r.integers(1, 4, r.integers(0, size) + 1) for _ in range(30)] + [np.ones(200, np.int64)]
+    index = FMIndex(sequences, 3)
+    low, high = index.matches(window)
+    windows = [s[k : k + window] for s in sequences for k in range(len(s) - window + 1)]
+    assert len(low) == len(windows)
+    want_low, want_high = index.find(np.array(windows))
+    wide = want_high - want_low > 1  # `find` stops at the first interval of one suffix
+    assert np.array_equal(low[wide], want_low[wide]) and np.array_equal(high[wide], want_high[wide])
+    assert (high[~wide] - low[~wide] == 1).all()
+    places = np.array([int(index.starts[k]) + j for k, s in enumerate(sequences) for j in range(len(s) - window + 1)])
+    assert np.array_equal(index.suffix[low[~wide]], places[~wide])
+
+
 def brute_removal(rows, window):
     first = {}
     for d, t, *_ in rows:
