@@ -564,10 +564,31 @@ def folded_replies(spark, d):
     return out.withColumn("seq", F.when(F.col("seq") == "primary_device_attributes", "purchase").otherwise(F.col("seq")))
 
 
-@query("SELECT 0 AS src_no, page_id AS item_no, url AS path FROM pages WHERE url <> ''")
+_QUEUE = "(SELECT 0 AS src_no, i::BIGINT AS item_no, p AS path FROM (VALUES (0, 'z.png'), (1, 'a.gif')) t(i, p) UNION ALL SELECT 1, c_custkey * 10 + 1, c_name || '.png' FROM customer UNION ALL SELECT 2, page_id, url FROM pages WHERE url <> '')"
+
+
+def queue(spark, d):
+    """A list of paths, tokens of a stream of texts, and a table of paths."""
+    texts = table(spark, d, "customer").select(F.concat(F.lit("\n"), "c_name", F.lit(".png\r\n")).alias("t"), F.col("c_custkey").alias("k"))
+    parts = texts.select("k", F.posexplode(F.split("t", "\n", -1)).alias("n", "path"))
+    tokens = parts.select(F.lit(1).alias("src_no"), (F.col("k") * 10 + F.col("n")).alias("item_no"), F.regexp_replace("path", "\r$", "").alias("path")).where("path <> ''")
+    pages = table(spark, d, "pages").select(F.lit(2).alias("src_no"), F.col("page_id").alias("item_no"), F.regexp_replace("url", "\r$", "").alias("path")).where("path <> ''")
+    return paths.queued(paths.from_list(spark, ["z.png", "a.gif"]), tokens, pages)
+
+
+@query(f"SELECT * FROM {_QUEUE} q")
 def path_queue(spark, d):
-    p = table(spark, d, "pages").select(F.lit(0).alias("src_no"), F.col("page_id").alias("item_no"), F.regexp_replace("url", "\r$", "").alias("path")).where("path <> ''")
-    return paths.queued(p)
+    return queue(spark, d)
+
+
+@query(f"SELECT *, row_number() OVER (ORDER BY src_no, item_no)::INT AS turn FROM {_QUEUE} q ORDER BY src_no, item_no LIMIT 12")
+def paths_taken(spark, d):
+    return paths.taken(queue(spark, d), 12)
+
+
+@query(f"SELECT greatest(count(*) - 12, 0) AS n_left, least(count(*), 12) AS n_done FROM {_QUEUE} q")
+def paths_left(spark, d):
+    return paths.left(queue(spark, d), 12)
 
 
 @query("SELECT * FROM (VALUES ('GIF'), ('PNG'), ('QOI'), ('TIFF'), ('XWD')) t(name)")
@@ -688,10 +709,11 @@ def option_parsing(spark, d):
     return o.select("i", T.fraction(s).alias("fraction"), T.hex_color(s).alias("color"), T.boolean(s).alias("flag"), T.tristate(s).alias("state"), w.alias("w"), h.alias("h"), T.version(s).alias("version"), T.leading_decimal(s).alias("lead"))
 
 
-@query(f"SELECT r_regionkey AS k, c::BIGINT AS rgb FROM region LEFT JOIN (VALUES {values(list(paths.COLORS.items()))}) t(n, c) ON n = CASE r_regionkey WHEN 0 THEN 'navy' WHEN 1 THEN 'gold' ELSE 'none' END")
+@query("SELECT n_nationkey AS k, CASE WHEN n_nationkey < 21 THEN ((n_nationkey * 5 * 255 + 50) // 100 * 65793)::BIGINT WHEN n_nationkey = 21 THEN 128 WHEN n_nationkey = 22 THEN 16766720 WHEN n_nationkey = 23 THEN 6591981 END AS rgb FROM nation")
 def named_colors(spark, d):
-    r = table(spark, d, "region").select(F.col("r_regionkey").alias("k"), F.expr("CASE r_regionkey WHEN 0 THEN 'NA vy' WHEN 1 THEN 'Gold' ELSE 'none' END").alias("n"))
-    return paths.named_color(r, "n").select("k", "rgb")
+    key = F.col("n_nationkey")
+    name = F.when(key < 21, F.concat(F.element_at(F.array(F.lit("Gray"), F.lit("GREY ")), (key % 2 + 1).cast("int")), (key * 5).cast("string"))).when(key == 21, "NA vy").when(key == 22, "Gold").when(key == 23, "cornflower Blue").otherwise("none")
+    return paths.named_color(table(spark, d, "nation").select(key.alias("k"), name.alias("n")), "n").select("k", "rgb")
 
 
 @query("SELECT v.vec_id, list_sum(list_transform(range(1, 65), lambda i: embedding[i]::DOUBLE * embedding[i]::DOUBLE)) > 0 AS positive, round(sqrt(list_sum(list_transform(range(1, 65), lambda i: embedding[i]::DOUBLE * embedding[i]::DOUBLE))), 6) AS norm FROM embeddings v")

@@ -572,3 +572,31 @@ def font_glyphs(spark, d):
 @query()
 def crop_dataset(spark, d):
     return batches.crops(padded(event_pixels(spark, d)), 64, 64, 40).select("image_id", "crop_no", "hi", "lo")
+
+
+@query("SELECT session_id, seq, arg_max(value, seq_no) AS value FROM (SELECT user_id AS session_id, event_id AS seq_no, event_type AS seq, value, min(CASE WHEN event_type = 'purchase' THEN event_id END) OVER (PARTITION BY user_id) AS last_no FROM events WHERE event_id % 10 < 7) WHERE last_no IS NULL OR seq_no <= last_no GROUP BY session_id, seq")
+def replies_in_time(spark, d):
+    marker = "primary_device_attributes"
+    seq = F.when(F.col("event_type") == "purchase", marker).otherwise(F.col("event_type"))
+    e = table(spark, d, "events").select(F.col("user_id").alias("session_id"), F.col("event_id").alias("seq_no"), seq.alias("seq"), "value")
+    out = terminal.folded_replies(e, F.col("seq_no") % 10 < 7)
+    return out.withColumn("seq", F.when(F.col("seq") == marker, "purchase").otherwise(F.col("seq")))
+
+
+@query("SELECT user_id % 4 AS src_no, event_id AS item_no, event_type AS text FROM events")
+def ordered_output(spark, d):
+    e = table(spark, d, "events").select((F.col("user_id") % 4).alias("src_no"), F.col("event_id").alias("item_no"), F.col("event_type").alias("text"))
+    return grid.in_order(e)
+
+
+@query(f"SELECT {IDS}, {', '.join(f'greatest(0, least(255, {c} + CASE WHEN y % 2 = 0 THEN CASE WHEN x % 2 = 0 THEN -63 ELSE 0 END ELSE CASE WHEN x % 2 = 0 THEN 32 ELSE -31 END END)) AS {c}' for c in 'rgb')} FROM {EP} p")
+def small_dither(spark, d):
+    from .operators import dither
+
+    return dither.ordered(event_pixels(spark, d), 0.5, (1, 1), 2).select(*KEY, *"rgb")
+
+
+@query()
+def dither_to_din99d(spark, d):
+    """Ordered dithering, then the other colour space."""
+    return formats.in_space(formats.dithered(event_pixels(spark, d), "ordered", 0.25, (2, 2)), "din99d").select(*KEY, *"rgb")
