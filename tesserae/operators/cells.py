@@ -58,9 +58,13 @@ def dominant_channel(px: Column) -> Column:
 
 
 def channel_sorted(px: Column, channel: Column) -> Column:
-    """Pixels by one channel, equal ones in row order."""
-    value = lambda p: F.when(channel == 0, p["r"]).when(channel == 1, p["g"]).otherwise(p["b"])
-    return F.array_sort(F.transform(px, lambda p: F.struct(value(p).alias("v"), p["i"].alias("i"), p["r"].alias("r"), p["g"].alias("g"), p["b"].alias("b"), p["a"].alias("a"))))
+    """Pixels by one channel, equal ones in row order.  The channel is bound once for the cell."""
+
+    def ordered(cell: Column) -> Column:
+        value = lambda p: F.when(cell["ch"] == 0, p["r"]).when(cell["ch"] == 1, p["g"]).otherwise(p["b"])
+        return F.array_sort(F.transform(cell["px"], lambda p: F.struct(value(p).alias("v"), *(p[c].alias(c) for c in "irgba"))))
+
+    return F.element_at(F.transform(F.array(F.struct(px.alias("px"), channel.alias("ch"))), ordered), 1)
 
 
 def median_pixel(px: Column) -> Column:
