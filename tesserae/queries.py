@@ -199,8 +199,8 @@ def cube216(spark, d):
     return event_pixels(spark, d).select(*KEY, C.cube_index(*rgb()).alias("pen"))
 
 
-def nearest_sql(palette) -> str:
-    return f"""SELECT {IDS}, arg_min(pen, ((r - pr) * (r - pr) + (g - pg) * (g - pg) + (b - pb) * (b - pb)) * 4096 + k) AS pen
+def nearest_sql(palette, kind: str = "BIGINT") -> str:
+    return f"""SELECT {IDS}, arg_min(pen, ((r - pr) * (r - pr) + (g - pg) * (g - pg) + (b - pb) * (b - pb)) * 4096 + k)::{kind} AS pen
 FROM {EP} p, {palette_sql(palette)} GROUP BY {IDS}"""
 
 
@@ -229,7 +229,7 @@ def nearest_fgbg(spark, d):
     return event_pixels(spark, d).select(*KEY, nearest.nearest_of(rgb(), "fgbg").alias("pen"))
 
 
-@query(nearest_sql(palettes.palette16()))
+@query(nearest_sql(palettes.palette16(), "INT"))
 def nearest_any_palette(spark, d):
     return nearest.with_nearest(event_pixels(spark, d), palettes.palette16()).select(*KEY, "pen")
 

@@ -191,7 +191,7 @@ def best_symbol_by_means(spark, d):
 
 def _pen_sql(side: str, palette) -> str:
     rows = values([(k, *p) for k, p in enumerate(palette)])
-    return f"(SELECT arg_min(pen, (({side}_r - pr) * ({side}_r - pr) + ({side}_g - pg) * ({side}_g - pg) + ({side}_b - pb) * ({side}_b - pb)) * 4096 + k) FROM (VALUES {rows}) pal(k, pen, pr, pg, pb))"
+    return f"(SELECT arg_min(pen::BIGINT, (({side}_r - pr) * ({side}_r - pr) + ({side}_g - pg) * ({side}_g - pg) + ({side}_b - pb) * ({side}_b - pb)) * 4096 + k) FROM (VALUES {rows}) pal(k, pen, pr, pg, pb))"
 
 
 _P16, _P8 = palettes.palette16(), palettes.palette16()[:8]
