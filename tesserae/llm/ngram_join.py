@@ -6,17 +6,16 @@ part's first set.  A part that more than HOT sets share is left out: a set whose
 parts still outnumber what it can differ in meets all its partners without it.  Only
 sets for which that fails (most of their parts are common ones) meet by common parts
 too, in blocks.  Where sets meet, a T-occurrence search finds the exact links: short
-inverted lists are merged by a heap, long ones probed by binary search (DivideSkip), and
-sets that reach the required overlap are kept.
+inverted lists are merged as sorted runs, long ones probed by binary search (DivideSkip),
+and sets that reach the required overlap are kept.  Sets and queries enter it by their
+difference from what most sets of the block hold, so what all share costs nothing.
 """
 
 from __future__ import annotations
 
-import heapq
 import itertools
 from bisect import bisect_right
 from collections.abc import Callable, Iterator
-from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +28,7 @@ from .components import components
 
 HOT = 60  # sets that may share a part before it is left out
 BLOCK = 200
+SHINGLES = 1 << 20  # of the sets of a block that meet by common parts, where no block is given
 SALTS = 16
 FEW = 50_000  # rows of ids that may be broadcast
 GROWTH = 1.5
@@ -114,59 +114,79 @@ def signatures(s: np.ndarray, num: int, den: int) -> np.ndarray:
 
 
 class Lists:
-    """Inverted lists of a block of sets."""
+    """Inverted lists of a block of sets, each set taken by its difference from the block's core.
+
+    The core is what more than half of the sets hold.  Sets differ from each other as their
+    differences from it do, so the lists hold, of a shingle in the core, the sets without it:
+    alike sets have short lists, however many they are.  Without a core they are the plain lists.
+    """
 
     def __init__(self, sets: list[np.ndarray]):
-        self.sets = sets
+        n = len(sets)
         self.sizes = np.array([len(s) for s in sets], np.int64)
         tokens = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-        owner = np.repeat(np.arange(len(sets)), self.sizes)
-        order = np.lexsort((owner, tokens))
-        self.tokens, first = np.unique(tokens[order], return_index=True)
-        self.owner, self.ends = owner[order], np.append(first, len(tokens))
+        order = np.argsort(tokens, kind="stable")
+        tokens, owner = tokens[order], np.repeat(np.arange(n, dtype=np.int32), self.sizes)[order]
+        first = np.flatnonzero(np.append(True, tokens[1:] != tokens[:-1])[: len(tokens)])
+        held = np.diff(np.append(first, len(tokens)))
+        self.tokens, self.core = tokens[first], 2 * held > n
+        self.lengths = np.where(self.core, n - held, held)
+        self.ends = np.append(0, np.cumsum(self.lengths))
+        inner = np.repeat(self.core, held)
+        has = np.zeros((int(self.core.sum()), n), bool)
+        has[np.repeat(np.arange(len(has)), held[self.core]), owner[inner]] = True
+        self.owner = np.zeros(self.ends[-1], np.int32)
+        swapped = np.repeat(self.core, self.lengths)
+        self.owner[~swapped], self.owner[swapped] = owner[~inner], np.nonzero(~has)[1]
+        self.shared = has.sum(axis=0)
+        self.differing = np.bincount(self.owner, minlength=n)
 
     def links(self, query: np.ndarray, num: int, den: int, inside: bool = False) -> np.ndarray:
         """Sets of the block at similarity num/den or more with the query.
 
-        inside: the query is one of the sets, so shingles of a single set are its own and
-        join it with none.
+        inside: the query is one of the sets, so a list of a single set is its own and
+        joins it with none.
         """
         n = len(query)
         if not n or not len(self.tokens):
             return np.zeros(0, np.int64)
         at = np.minimum(np.searchsorted(self.tokens, query), len(self.tokens) - 1)
+        differs = self.core.copy()
         at = at[self.tokens[at] == query]
-        if inside:
-            at = at[self.ends[at + 1] - self.ends[at] > 1]
-        least = -(-num * n // den)
-        if len(at) < least:
-            return np.zeros(0, np.int64)
-        lists = sorted((self.owner[self.ends[k] : self.ends[k + 1]] for k in at), key=len)
-        longest = len(lists[-1])
-        n_long = min(least - 1, int(least / (0.05 * np.log2(longest + 1) + 1)))
+        differs[at] = ~self.core[at]
+        # A pair's overlap is what it shares of its differences, less the core's shingles, plus what each holds of these.
+        need = -(-num * (n + self.sizes) // (num + den)) + len(self.core[self.core]) - int(self.core[at].sum()) - self.shared
+        alike = (num * n <= den * self.sizes) & (num * self.sizes <= den * n)
+        sure = np.flatnonzero(alike & (need <= 0))
+        mine = np.flatnonzero(differs & (self.lengths > inside))
+        unsure = alike & (need > 0) & (need <= np.minimum(self.differing, len(mine)))
+        if not unsure.any():
+            return sure
+        least = int(need[unsure].min())
+        mine = mine[np.argsort(self.lengths[mine], kind="stable")]
+        n_long = min(least - 1, int(least / (0.05 * np.log2(int(self.lengths[mine[-1]]) + 1) + 1)))
+        lists = [self.owner[self.ends[k] : self.ends[k + 1]] for k in mine]
         short, long = lists[: len(lists) - n_long], lists[len(lists) - n_long :]
-        merged = short[0].tolist() if len(short) == 1 else heapq.merge(*(x.tolist() for x in short))
-        counted = [(owner, sum(1 for _ in same)) for owner, same in groupby(merged)]
-        counted = [x for x in counted if x[1] >= least - n_long and num * n <= den * self.sizes[x[0]] and num * self.sizes[x[0]] <= den * n]
-        if not counted:
-            return np.zeros(0, np.int64)
-        owners, overlap = np.array([x[0] for x in counted]), np.array([x[1] for x in counted])
-        need = -(-num * (n + self.sizes[owners]) // (num + den))
+        merged = np.sort(np.concatenate(short), kind="stable")
+        edges = np.flatnonzero(np.append(True, merged[1:] != merged[:-1]))
+        owners, overlap = merged[edges].astype(np.int64), np.diff(np.append(edges, len(merged)))
+        alive = unsure[owners] & (overlap + n_long >= need[owners])
+        owners, overlap = owners[alive], overlap[alive]
         for k, x in enumerate(reversed(long)):
-            overlap = overlap + (x[np.minimum(np.searchsorted(x, owners), len(x) - 1)] == owners)
-            alive = overlap + (len(long) - 1 - k) >= need
-            if not alive.all():
-                owners, overlap, need = owners[alive], overlap[alive], need[alive]
             if not len(owners):
                 break
-        return owners
+            overlap = overlap + (x[np.minimum(np.searchsorted(x, owners), len(x) - 1)] == owners)
+            alive = overlap + (len(long) - 1 - k) >= need[owners]
+            owners, overlap = owners[alive], overlap[alive]
+        return np.sort(np.concatenate([sure, owners]))
 
 
-def link_block(keys: list[int], sets: list[np.ndarray], leaders: list[bool], num: int, den: int) -> list[tuple[int, int]]:
+def link_block(keys: list[int], sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
     """(key, root key) of every set that is linked within the block, found by as few searches as show it.
 
-    The leader is searched first; then every set outside its component.  A pair within
-    one component needs no search, and any other pair has a side that is searched.
+    The set that differs least from the block's core is searched first; then every set
+    outside its component.  A pair within one component needs no search, and any other
+    pair has a side that is searched.
     """
     parent = list(range(len(keys)))
 
@@ -177,7 +197,7 @@ def link_block(keys: list[int], sets: list[np.ndarray], leaders: list[bool], num
         return x
 
     lists = Lists(sets)
-    order = sorted(range(len(keys)), key=lambda k: not leaders[k])
+    order = np.argsort(lists.differing, kind="stable").tolist()
     lead = order[0]
     for k in order:
         if k == lead or find(k) != find(lead):
@@ -300,7 +320,7 @@ def _meetings(hot: int) -> Callable:
     return run
 
 
-def jaccard_components(docs: DataFrame, width: int = 5, num: int = 8, den: int = 10, block: int = BLOCK, hot: int = HOT, mark: Column | None = None) -> DataFrame:
+def jaccard_components(docs: DataFrame, width: int = 5, num: int = 8, den: int = 10, block: int | None = None, hot: int = HOT, mark: Column | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id: components of documents whose sets are at num/den or more.
 
     mark: a long of each row that is to be returned with it.
@@ -314,10 +334,11 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 8, den: int =
     no rows.
 
     Sets are named by 64-bit hashes.  A text goes to the first sets that it shares a part
-    with, at most `hot` sets a part; a first set with more than `block` others meets those
-    of each part by themselves.  Sets that meet by common parts are dealt over blocks,
-    with the first set in every one, and those outside its component are then searched in
-    all of them, so no link between different components is lost.
+    with, at most `hot` sets a part; a first set with more than `block` others (BLOCK, if not
+    given) meets those of each part by themselves.  Sets that meet by common parts are dealt
+    over blocks of that many sets (if not given, of SHINGLES shingles, BLOCK sets at least);
+    the one with the most such parts is in every block.  Those outside the largest component
+    are then searched in all blocks, so no link between different components is lost.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -334,7 +355,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 8, den: int =
     plain = docs.select("doc_id", "text")
     marked = docs.select("doc_id", "text", (F.lit(0) if mark is None else mark).cast("long").alias("mark"))
     all_docs = saved(marked.mapInArrow(named, "doc_id long, key long, n_shingles long, even long, odd long, mark long"), "join-docs")
-    reps = all_docs.where("doc_id is not null and key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.min("even").alias("even"), F.min("odd").alias("odd"))
+    reps = all_docs.where("doc_id is not null and key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.min("even").alias("even"), F.min("odd").alias("odd"), F.max("n_shingles").alias("size"))
     reps = saved(reps, "join-reps")
 
     postings = plain.where("doc_id is not null").select("text").mapInArrow(_postings(width, num, den, hot), "x long, y long")
@@ -344,7 +365,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 8, den: int =
 
     # Parts that few sets share: a first set and its others, or one part's where they are many.
     pairs = met.where("not common").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).groupBy(F.col("b").alias("w")).agg(F.count(F.lit(1)).alias("others"))
-    stars = met.where("not common").join(pairs.where(F.col("others") >= block), F.col("b") == F.col("w"), "left")
+    stars = met.where("not common").join(pairs.where(F.col("others") >= (block or BLOCK)), F.col("b") == F.col("w"), "left")
     stars = stars.select(F.col("b").alias("root"), F.when(F.col("w").isNotNull(), F.col("x")).otherwise(0).alias("sub"), F.col("a").alias("m_key")).distinct()
     stars = saved(stars, "join-stars")
     units = stars.union(stars.select("root", "sub", F.col("root").alias("m_key")).distinct()).withColumn("blocks", F.lit(1))
@@ -352,13 +373,18 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 8, den: int =
     # Sets that their other parts don't suffice for meet by the common parts.
     common = saved(met.where("common").select("x", F.col("a").alias("y")).distinct(), "join-common")
     counted = common.groupBy("y", F.col("x").bitwiseAND(F.lit(1)).alias("parity")).agg(F.count(F.lit(1)).alias("n"))
-    short = counted.join(reps, F.col("y") == F.col("key")).where(F.col("n") > F.when(F.col("parity") == 0, F.col("even")).otherwise(F.col("odd")))
-    short = short.select(F.col("y").alias("s_key")).distinct()
-    loose = saved(common.where(F.shiftright("x", 1) != 0).join(short, F.col("y") == F.col("s_key"), "left_semi"), "join-loose")
-    firsts = loose.groupBy(F.col("x").alias("f_x")).agg(F.min("y").alias("first")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    rays = loose.join(firsts, (F.col("x") == F.col("f_x")) & (F.pmod(F.xxhash64("y"), F.lit(SALTS)) == F.col("salt"))).where("y <> first").select("first", "y").distinct()
+    lacking = F.col("n") > F.when(F.col("parity") == 0, F.col("even")).otherwise(F.col("odd"))
+    short = counted.join(reps, F.col("y") == F.col("key")).groupBy(F.col("y").alias("s_key")).agg(F.sum("n").alias("parts"), F.max("size").alias("size"), F.max(lacking).alias("lacking"))
+    short = short.where("lacking").drop("lacking")
+    loose = saved(common.where(F.shiftright("x", 1) != 0).join(short, F.col("y") == F.col("s_key")).select("x", "y", "parts", "size"), "join-loose")
+    # A part's sets meet at the one with the most common parts: where sets are alike, few and central ones.
+    firsts = loose.groupBy(F.col("x").alias("f_x")).agg(F.min(F.struct(-F.col("parts"), F.col("y"))).alias("f")).select("f_x", F.col("f.y").alias("first"))
+    firsts = firsts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rays = loose.join(firsts, (F.col("x") == F.col("f_x")) & (F.pmod(F.xxhash64("y"), F.lit(SALTS)) == F.col("salt"))).where("y <> first").select("first", "y", "size").distinct()
     rays = saved(rays, "join-rays")
-    sizes = rays.groupBy(F.col("first").alias("s_first")).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    room = F.ceil(F.sum("size") / SHINGLES) if block is None else F.ceil(F.count(F.lit(1)) / block)
+    most = F.ceil(F.count(F.lit(1)) / (block or BLOCK))
+    sizes = rays.groupBy(F.col("first").alias("s_first")).agg(F.least(room, most).cast("int").alias("blocks"))
     rays = rays.join(sizes, F.col("first") == F.col("s_first")).select("first", F.lit(1).cast("long").alias("sub"), "y", "blocks")
     leads = sizes.select("s_first", F.lit(1).cast("long").alias("sub"), F.col("s_first").alias("y"), "blocks")
 
@@ -372,7 +398,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 8, den: int =
         for _, rows in _groups(batches, 3):
             found = _checked(rows, width)
             if len(found) > 1:
-                yield _out(link_block([k for k, *_ in found], [s for _, _, s in found], [e for _, e, _ in found], num, den), ("a", "b"))
+                yield _out(link_block([k for k, *_ in found], [s for _, _, s in found], num, den), ("a", "b"))
 
     placed = members.hint("merge").join(texts, F.col("rep") == F.col("t_id")).withColumn("block", F.explode(F.when(F.col("leader"), everywhere).otherwise(F.array("own"))))
     placed = placed.select("root", "sub", "block", "key", "leader", "text").repartition(parts, "root", "sub", "block").sortWithinPartitions("root", "sub", "block", "key")
@@ -384,7 +410,8 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 8, den: int =
         local = joined.select(F.col("node").alias("l_node"), F.col("root").alias("l_root"))
         held = wide.join(local, F.col("key") == F.col("l_node"), "left").withColumn("part", F.coalesce("l_root", "key")).drop("l_node", "l_root")
         held = saved(held, "join-held")
-        main = held.where("leader").select(F.col("root").alias("m_root"), F.col("part").alias("m_part"))
+        main = held.groupBy("root", "part").agg(F.count(F.lit(1)).alias("n")).groupBy(F.col("root").alias("m_root")).agg(F.max(F.struct("n", "part")).alias("m"))
+        main = main.select("m_root", F.col("m.part").alias("m_part"))
         held = held.join(main, F.col("root") == F.col("m_root")).withColumn("apart", F.col("part") != F.col("m_part")).drop("m_root", "m_part")
 
         def second_round(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -394,6 +394,22 @@ def test_t_occurrence_search():
     assert lists.links(np.zeros(0, np.uint64), 9, 10).tolist() == []
 
 
+def test_alike_sets_have_short_lists():
+    r = np.random.default_rng(14)
+    sets = []
+    for base in (r.integers(0, 1 << 62, 400).astype(np.uint64), r.integers(0, 1 << 62, 90).astype(np.uint64)):
+        for k in range(120 if len(base) > 200 else 50):
+            gone = r.integers(0, 40)
+            sets.append(np.unique(np.concatenate([r.choice(base, len(base) - gone, False), r.integers(0, 1 << 62, gone).astype(np.uint64)])))
+    lists = Lists(sets)
+    assert len(Lists(sets[:120]).owner) * 5 < sum(map(len, sets[:120]))
+    for num, den in ((9, 10), (8, 10)):
+        for s in sets[::3]:
+            want = [k for k, t in enumerate(sets) if den * len(np.intersect1d(s, t)) >= num * len(np.union1d(s, t))]
+            assert lists.links(s, num, den).tolist() == want
+            assert {*lists.links(s, num, den, True).tolist()} | {k for k in want if np.array_equal(sets[k], s)} == {*want}
+
+
 def test_fm_index_finds_every_window():
     r = np.random.default_rng(12)
     sequences = [r.integers(1, 5, r.integers(4, 30)) for _ in range(40)]
