@@ -626,3 +626,22 @@ def test_top_k_of_repeated_vectors(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(5)
     got = exact_top_k(df, F.col("vec_id") == 1, k=4, rows=2, queries=1).collect()
     assert [(r.rank, r.vec_id) for r in sorted(got, key=lambda r: r.rank)] == [(k, 2) for k in range(1, 5)]
+
+
+@pytest.mark.parametrize("rows,queries", [(16_384, 1_024), (40, 1)])
+def test_top_k_of_repeated_queries(spark, tmp_path, rows, queries):
+    """Each row of a repeated query is a query, as in the SQL."""
+    import duckdb
+
+    from tesserae.llm.queries import ORACLE_SQL
+
+    r = random.Random(3)
+    vector = lambda: [r.uniform(-1, 1) for _ in range(6)]
+    data = [(k, vector()) for k in range(-60, 120)]
+    data += [*data[60:62], data[60], data[110], (0, vector()), (100, vector()), (7, vector())]
+    path = str(tmp_path / "embeddings.parquet")
+    spark.createDataFrame(data, "vec_id long, embedding array<float>").repartition(4).write.parquet(path)
+    got = exact_top_k(spark.read.parquet(path), F.col("vec_id") % 50 == 0, rows=rows, queries=queries)
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{path}/*.parquet'")
+    assert rows_of(got) == sorted(db.execute(ORACLE_SQL["op6_exact_top_k"]).fetchall(), key=lambda x: tuple((True, str(v)) for v in x))
