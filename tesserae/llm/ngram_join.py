@@ -1,11 +1,11 @@
 """Self-join of documents on the Jaccard similarity of their word shingles.
 
 Candidates: a pair at similarity t differs in few shingles, so of one part more than
-that, dealt by hash, some part is the same in both.  Sets that share a part meet at the
-part's first set.  A part that more than HOT sets share is left out: a set whose other
-parts still outnumber what it can differ in meets all its partners without it.  Only
-sets for which that fails (most of their parts are common ones) meet by common parts
-too, in blocks.  Where sets meet, a T-occurrence search finds the exact links: short
+that, dealt by hash, some part is the same in both.  A set leaves out the parts that most
+sets share, as many as it can spare: the rarest part of a linked pair is kept by both.
+Sets that keep a part meet at the part's first set.  A part that more than HOT sets share
+comes first in that order; only sets that can't spare all of those they hold (most of
+their parts are common ones) meet by common parts too, in blocks.  Where sets meet, a T-occurrence search finds the exact links: short
 inverted lists are merged as sorted runs, long ones probed by binary search (DivideSkip),
 and sets that reach the required overlap are kept.  Sets and queries enter it by their
 difference from what most sets of the block hold, so what all share costs nothing.
@@ -19,7 +19,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import hashing as H
@@ -66,6 +66,16 @@ def set_key(s: np.ndarray) -> int:
     return int(H.mix(np.array([H.mix(s).sum(dtype=np.uint64) + np.uint64(len(s))]))[0].astype(np.int64))
 
 
+def _levels(s: np.ndarray, num: int, den: int) -> Iterator[tuple[int, int, int, np.ndarray]]:
+    """The size levels that the set signs: each with what it can differ in, the number of parts, and each shingle's part."""
+    n, high = len(s), s >> np.uint64(20)
+    for j in range(bisect_right(_BOUNDS, n) - 1, bisect_right(_BOUNDS, n * den // num)):
+        top = _BOUNDS[j + 1] - 1
+        differ = 2 * top * (den - num) // (den + num)
+        parts = 1 if not differ else differ + 2 + differ // 20
+        yield j, (n + min(n * den // num, top)) * (den - num) // (den + num), parts, (high % np.uint64(parts)).astype(np.int64)
+
+
 def spares(s: np.ndarray, num: int, den: int) -> list[tuple[int, int, np.ndarray]]:
     """For each size level that the set signs: its parity, how many of its parts may be left
     out with every partner still met, and the signatures of its parts.
@@ -73,18 +83,12 @@ def spares(s: np.ndarray, num: int, den: int) -> list[tuple[int, int, np.ndarray
     A pair at num/den or more signs the level of its larger set with equally many parts.
     They differ in at most (own) shingles, each of which spoils one part.
     """
-    n, out = len(s), []
-    level = bisect_right(_BOUNDS, n) - 1
+    out = []
     spread = H.mix(s)
-    for j in range(level, bisect_right(_BOUNDS, n * den // num)):
-        top = _BOUNDS[j + 1] - 1
-        differ = 2 * top * (den - num) // (den + num)
-        parts = 1 if not differ else differ + 2 + differ // 20
-        part = ((s >> np.uint64(20)) % np.uint64(parts)).astype(np.int64)
+    for j, own, parts, part in _levels(s, num, den):
         sums = np.zeros(parts, np.uint64)
         np.add.at(sums, part, spread)
         used = np.flatnonzero(np.bincount(part, minlength=parts))
-        own = (n + min(n * den // num, top)) * (den - num) // (den + num)
         out.append((j & 1, len(used) - own - 1, H.combine(sums[used], (used + (j << 40)).astype(np.uint64))))
     return out
 
@@ -92,8 +96,9 @@ def spares(s: np.ndarray, num: int, den: int) -> list[tuple[int, int, np.ndarray
 def least_spares(s: np.ndarray, num: int, den: int) -> dict[int, int]:
     """The smallest number of parts that may be left out at the levels of each parity."""
     out: dict[int, int] = {}
-    for parity, spare, _ in spares(s, num, den):
-        out[parity] = min(spare, out.get(parity, spare))
+    for j, own, parts, part in _levels(s, num, den):
+        spare = np.count_nonzero(np.bincount(part, minlength=parts)) - own - 1
+        out[j & 1] = min(spare, out.get(j & 1, spare))
     return out
 
 
@@ -269,57 +274,105 @@ MEETINGS = "common boolean, x long, a long, b long"
 _MEETINGS = pa.schema([("common", pa.bool_()), ("x", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
 
 
-def _meetings(hot: int) -> Callable:
-    """Over postings sorted by both columns: for a signature of at most `hot` sets, rows (false,
-    name of its sets, further set, first set); for any other, rows (true, signature, set, set).
+def _parts(batches: Iterator[pa.RecordBatch], hot: int) -> Iterator[tuple[bool, np.ndarray, np.ndarray, np.ndarray]]:
+    """Postings sorted by both columns as runs (common, signature, set, number of the signature's sets).
+
+    A signature of more than `hot` sets is common, and its number is one more than that; the
+    others come whole, each set once.  A common signature's rows pass by, so it takes time but no memory.
+    """
+    none = np.zeros(0, np.int64)
+    left_x, left_y, passing = none, none, None
+
+    def common(x: np.ndarray, y: np.ndarray) -> tuple[bool, np.ndarray, np.ndarray, np.ndarray]:
+        return True, x, y, np.full(len(x), hot + 1)
+
+    for batch in itertools.chain(batches, [None]):
+        x, y = (none, none) if batch is None else (c.to_numpy() for c in batch.columns)
+        known = (x & 2) != 0
+        if known.any():
+            yield common(x[known] & ~2, y[known])
+            x, y = x[~known], y[~known]
+        x, y = np.concatenate([left_x, x]), np.concatenate([left_y, y])
+        new = np.append(True, (x[1:] != x[:-1]) | (y[1:] != y[:-1]))[: len(x)]
+        x, y = x[new], y[new]
+        if passing is not None and len(x):
+            more = x == passing
+            if more.any():
+                yield common(x[more], y[more])
+                x, y = x[~more], y[~more]
+            if len(x):
+                passing = None
+        last = len(x) if batch is None or not len(x) else int(np.searchsorted(x, x[-1]))
+        if len(x) - last > hot:
+            last, passing = len(x), x[-1]
+        left_x, left_y, x, y = x[last:], y[last:], x[:last], y[:last]
+        if not len(x):
+            continue
+        at = np.flatnonzero(np.append(True, x[1:] != x[:-1]))
+        n = np.diff(np.append(at, len(x)))
+        wide = np.repeat((n > hot) | (x[at] >> 1 == 0), n)
+        if passing is not None:
+            wide |= x == passing
+        if wide.any():
+            yield common(x[wide], y[wide])
+        if not wide.all():
+            yield False, x[~wide], y[~wide], np.repeat(n, n)[~wide]
+
+
+SHARED = "x long, y long, n long"
+
+
+def _shared(hot: int) -> Callable:
+    """Over sorted postings: (signature, set, number of its sets) of each signature that two sets or more have."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, x, y, n in _parts(batches, hot):
+            two = n > 1
+            yield pa.RecordBatch.from_arrays([pa.array(c[two]) for c in (x, y, n)], names=["x", "y", "n"])
+
+    return run
+
 
-    A common signature's rows pass by, so it takes time but no memory.
+def _meetings(hot: int) -> Callable:
+    """Over sorted postings: for a signature of at most `hot` sets, rows (false, name of its
+    sets, further set, first set); for any other, rows (true, signature, set, set).
     """
 
     def rows(common: bool, x: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), common)), pa.array(x), pa.array(a), pa.array(b)], schema=_MEETINGS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        none = np.zeros(0, np.int64)
-        left_x, left_y, passing = none, none, None
-        for batch in itertools.chain(batches, [None]):
-            x, y = (none, none) if batch is None else (c.to_numpy() for c in batch.columns)
-            known = (x & 2) != 0
-            if known.any():
-                yield rows(True, x[known] & ~2, y[known], y[known])
-                x, y = x[~known], y[~known]
-            x, y = np.concatenate([left_x, x]), np.concatenate([left_y, y])
-            new = np.append(True, (x[1:] != x[:-1]) | (y[1:] != y[:-1]))[: len(x)]
-            x, y = x[new], y[new]
-            if passing is not None and len(x):
-                more = x == passing
-                if more.any():
-                    yield rows(True, x[more], y[more], y[more])
-                    x, y = x[~more], y[~more]
-                if len(x):
-                    passing = None
-            last = len(x) if batch is None or not len(x) else int(np.searchsorted(x, x[-1]))
-            if len(x) - last > hot:
-                last, passing = len(x), x[-1]
-            left_x, left_y, x, y = x[last:], y[last:], x[:last], y[:last]
-            if not len(x):
+        for common, x, y, _ in _parts(batches, hot):
+            if common:
+                yield rows(True, x, y, y)
                 continue
             at = np.flatnonzero(np.append(True, x[1:] != x[:-1]))
             n = np.diff(np.append(at, len(x)))
-            wide = np.repeat((n > hot) | (x[at] >> 1 == 0), n)
-            if passing is not None:
-                wide |= x == passing
-            if wide.any():
-                yield rows(True, x[wide], y[wide], y[wide])
             named = H.mix(np.add.reduceat(H.mix(y.view(np.uint64)), at) + n.astype(np.uint64)).view(np.int64)
             first = np.repeat(y[at], n)
-            other = ~wide & (first != y)
+            other = first != y
             if other.any():
                 yield rows(False, np.repeat(named, n)[other], y[other], first[other])
 
     return run
 
 
+def _kept(shared: DataFrame, reps: DataFrame, hot: int) -> DataFrame:
+    """x, y, n of the parts that a set keeps, the number of its common parts, and its size.
+
+    Of a set's parts at levels of one parity, those that most sets share are left out, as many
+    as it can spare; the order is one for all sets.  A linked pair shares more parts than
+    either can spare, so both keep the last in that order of those that they share.
+    """
+    parity = F.col("x").bitwiseAND(F.lit(1))
+    rows = shared.where(F.col("n") <= hot).union(shared.where(F.col("n") > hot).distinct())
+    rows = rows.join(reps.select(F.col("key").alias("y"), "even", "odd", "size"), "y")
+    rank = F.row_number().over(Window.partitionBy("y", parity).orderBy(F.desc("n"), "x"))
+    parts = F.sum((F.col("n") > hot).cast("long")).over(Window.partitionBy("y"))
+    rows = rows.select("x", "y", "n", "size", parts.alias("parts"), (rank > F.when(parity == 0, F.col("even")).otherwise(F.col("odd"))).alias("held"))
+    return rows.where("held").drop("held")
+
+
 def jaccard_components(docs: DataFrame, width: int = 5, num: int = 8, den: int = 10, block: int | None = None, hot: int = HOT, mark: Column | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id: components of documents whose sets are at num/den or more.
 
@@ -333,8 +386,8 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 8, den: int =
     is made of all its words.  A pair at exactly num/den is linked.  An empty table gives
     no rows.
 
-    Sets are named by 64-bit hashes.  A text goes to the first sets that it shares a part
-    with, at most `hot` sets a part; a first set with more than `block` others (BLOCK, if not
+    Sets are named by 64-bit hashes.  A text goes to the first sets of the parts that it keeps,
+    at most `hot` sets a part; a first set with more than `block` others (BLOCK, if not
     given) meets those of each part by themselves.  Sets that meet by common parts are dealt
     over blocks of that many sets (if not given, of SHINGLES shingles, BLOCK sets at least);
     the one with the most such parts is in every block.  Those outside the largest component
@@ -361,22 +414,20 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 8, den: int =
     postings = plain.where("doc_id is not null").select("text").mapInArrow(_postings(width, num, den, hot), "x long, y long")
     spread = F.when(F.col("x").bitwiseAND(F.lit(2)) == 0, F.col("x")).otherwise(F.col("y"))
     dealt = postings.repartition(parts, spread).sortWithinPartitions("x", "y")
-    met = saved(dealt.mapInArrow(_meetings(hot), MEETINGS), "join-meetings")
+    shared = saved(dealt.mapInArrow(_shared(hot), SHARED), "join-shared")
+    kept = saved(_kept(shared, reps, hot), "join-kept")
+    scarce = kept.where(F.col("n") <= hot).select("x", "y").repartition(parts, "x").sortWithinPartitions("x", "y")
+    met = saved(scarce.mapInArrow(_meetings(hot), MEETINGS), "join-meetings")
 
     # Parts that few sets share: a first set and its others, or one part's where they are many.
-    pairs = met.where("not common").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).groupBy(F.col("b").alias("w")).agg(F.count(F.lit(1)).alias("others"))
-    stars = met.where("not common").join(pairs.where(F.col("others") >= (block or BLOCK)), F.col("b") == F.col("w"), "left")
+    pairs = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).groupBy(F.col("b").alias("w")).agg(F.count(F.lit(1)).alias("others"))
+    stars = met.join(pairs.where(F.col("others") >= (block or BLOCK)), F.col("b") == F.col("w"), "left")
     stars = stars.select(F.col("b").alias("root"), F.when(F.col("w").isNotNull(), F.col("x")).otherwise(0).alias("sub"), F.col("a").alias("m_key")).distinct()
     stars = saved(stars, "join-stars")
     units = stars.union(stars.select("root", "sub", F.col("root").alias("m_key")).distinct()).withColumn("blocks", F.lit(1))
 
-    # Sets that their other parts don't suffice for meet by the common parts.
-    common = saved(met.where("common").select("x", F.col("a").alias("y")).distinct(), "join-common")
-    counted = common.groupBy("y", F.col("x").bitwiseAND(F.lit(1)).alias("parity")).agg(F.count(F.lit(1)).alias("n"))
-    lacking = F.col("n") > F.when(F.col("parity") == 0, F.col("even")).otherwise(F.col("odd"))
-    short = counted.join(reps, F.col("y") == F.col("key")).groupBy(F.col("y").alias("s_key")).agg(F.sum("n").alias("parts"), F.max("size").alias("size"), F.max(lacking).alias("lacking"))
-    short = short.where("lacking").drop("lacking")
-    loose = saved(common.where(F.shiftright("x", 1) != 0).join(short, F.col("y") == F.col("s_key")).select("x", "y", "parts", "size"), "join-loose")
+    # Sets that can't spare all of their common parts meet by those that they keep.
+    loose = kept.where((F.col("n") > hot) & (F.shiftright("x", 1) != 0)).select("x", "y", "parts", "size")
     # A part's sets meet at the one with the most common parts: where sets are alike, few and central ones.
     firsts = loose.groupBy(F.col("x").alias("f_x")).agg(F.min(F.struct(-F.col("parts"), F.col("y"))).alias("f")).select("f_x", F.col("f.y").alias("first"))
     firsts = firsts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))

@@ -11,6 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from tesserae.llm import common, ngram_join
 from tesserae.llm import hashing as H
 from tesserae.llm.components import components
 from tesserae.llm.fm_index import FMIndex
@@ -645,3 +646,21 @@ def test_top_k_of_repeated_queries(spark, tmp_path, rows, queries):
     db = duckdb.connect()
     db.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{path}/*.parquet'")
     assert rows_of(got) == sorted(db.execute(ORACLE_SQL["op6_exact_top_k"]).fetchall(), key=lambda x: tuple((True, str(v)) for v in x))
+
+
+def test_sets_that_share_fewer_parts_than_they_can_spare_do_not_meet(spark, monkeypatch):
+    """Groups of unlike sets with a passage in common: each shares a few parts, none of which it has to keep."""
+    passage = [[f"p{g}_{k}" for k in range(50)] for g in range(6)]
+    rows = [(k, " ".join([f"w{k}_{j}" for j in range(100)] + passage[k % 6]), "en", "a") for k in range(120)]
+    rows += [(120 + k, edited(rows[k][1].split(), 2, k), "en", "a") for k in range(6)]
+    seen = {}
+
+    def saved(df, label, *more):
+        out = common.saved(df, label, *more)
+        seen[label] = out
+        return out
+
+    monkeypatch.setattr(ngram_join, "saved", saved)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_components(table(spark, rows), 5, 8, 10).collect()}
+    assert got == brute_components(rows, 5, 8, 10) and got[121][1] == 1
+    assert seen["join-members"].select("key").distinct().count() <= 24  # the 12 that are linked, and few others
