@@ -664,3 +664,18 @@ def test_sets_that_share_fewer_parts_than_they_can_spare_do_not_meet(spark, monk
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_components(table(spark, rows), 5, 8, 10).collect()}
     assert got == brute_components(rows, 5, 8, 10) and got[121][1] == 1
     assert seen["join-members"].select("key").distinct().count() <= 24  # the 12 that are linked, and few others
+
+
+def test_quality_counts_every_document_where_asked(spark):
+    """80 copies of a text and 60 unlike ones with a line in common: by documents, the copies' lines go too."""
+    own = lambda k: " ".join(words(30, k, 10))
+    rows = [(k, f"{own(999)}\nsecond line of the copied text", "en", "h") for k in range(80)]
+    rows += [(100 + k, f"one line of all of these\n{own(k)}", "en", "h") for k in range(60)]
+    rows += [(100, rows[80][1], "en", "h"), (None, rows[0][1], "en", "h")]
+    got = {}
+    for once in (True, False):
+        for r in quality_rules(table(spark, rows), copies_once=once).collect():
+            got.setdefault((once, r.doc_id), set()).add((r.lines_removed, r.kept))
+    assert {x for k in range(80) for x in got[True, k]} == {(0, True)} and {x for k in range(80) for x in got[False, k]} == {(2, False)}
+    assert {x for once in (True, False) for k in range(60) for x in got[once, 100 + k]} == {(1, True)}
+    assert got[True, None] == {(0, True)} and got[False, None] == {(2, False)}
